@@ -22,6 +22,45 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), 2048, 0)
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.mixing import Mix
+
+    return Mix(documents(spark, sf_dir), (3, 1, 2), 1.5, 2).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.lines import dedup_lines
+
+    return dedup_lines(documents(spark, sf_dir), min_docs=10, min_chars=1).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents),
+keyed AS (
+  SELECT doc_id, line, pos,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines),
+repeated AS (
+  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(r.k) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE r.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN repeated r ON keyed.k = r.k
+GROUP BY doc_id
+"""
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.quality import quality, train
+
+    docs = documents(spark, sf_dir)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), max_rows=3000)
+    return quality(docs, model, 10, 20, threshold=0.2)
+
+
 def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spindrift.llm.records import read_records, write_records
 
@@ -37,8 +76,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pack, op9_records, op10_token_counts)}
+    return {f.__name__: f for f in (op2_pack, op3_mix, op4_line_dedup, op8_quality, op9_records, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": OP4_SQL}
