@@ -16,6 +16,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.near_dup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spindrift.llm.packing import pack_documents
 
@@ -76,7 +82,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pack, op3_mix, op4_line_dedup, op8_quality, op9_records, op10_token_counts)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_pack, op3_mix, op4_line_dedup, op8_quality, op9_records, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
