@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -52,8 +53,14 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(place)
         out = self.spark.read.schema(df.schema).parquet(place)
         out._scratch_place = place
+        self.tidy()
         return out
 
+    def tidy(self) -> None:
+        """Let Spark remove shuffle files that no plan of ours needs any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm

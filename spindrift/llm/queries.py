@@ -59,6 +59,13 @@ GROUP BY doc_id
 """
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.repeats import remove_repeats
+
+    out = remove_repeats(documents(spark, sf_dir), 200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spindrift.llm.quality import quality, train
 
@@ -82,7 +89,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_pack, op3_mix, op4_line_dedup, op8_quality, op9_records, op10_token_counts)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_pack, op3_mix, op4_line_dedup, op6_repeats, op8_quality, op9_records, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
