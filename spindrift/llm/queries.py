@@ -59,6 +59,12 @@ GROUP BY doc_id
 """
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.fingerprints import fingerprints
+
+    return fingerprints(documents(spark, sf_dir), min_docs=2, min_idf=3.0)
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spindrift.llm.repeats import remove_repeats
 
@@ -89,7 +95,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_pack, op3_mix, op4_line_dedup, op6_repeats, op8_quality, op9_records, op10_token_counts)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_pack, op3_mix, op4_line_dedup, op5_fingerprints, op6_repeats, op8_quality, op9_records, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
