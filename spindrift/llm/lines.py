@@ -65,19 +65,20 @@ class LineRuns:
         return self._merge(self.runs()).filter(F.col("n") >= self.min_docs).select(*_KEY)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept (the text without repeated lines) for every row.
 
     Lines are split at \\n; a line's key is the line without white space at its ends, A-Z lower-cased.
     Keys of at least `min_chars` code points that at least `min_docs` rows have lose all their lines.
     Null or empty text is one empty line.  Rows of equal id are documents of their own, as are rows
-    of null id.  Other columns are left out.  Any text length: a document is handled by hash-based array
+    of null id.  Other columns are left out but for those named in `carry`.  Any text length: a document is handled by hash-based array
     functions in one row, and only (hash, document, position) triples are shuffled for counting.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    # a row's identity: its id, its text and a number among rows that share both
-    rows = need(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    if {"text", "doc_id", "lines", "row", "dropped", "n_lines", "n_dropped", "kept"} & set(carry):
+        raise ValueError("a carried column has a name of ours")
+    rows = need(docs, *dict.fromkeys((id_col, text_col, *carry))).select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *[F.col(f"`{c}`") for c in carry])
     lines = rows.withColumn("lines", F.split("text", "\n", -1))
     row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null")), "text")
     keyed = lines.select(
@@ -95,4 +96,4 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     found = table.select("row", *_KEY, "pos").join(repeated, list(_KEY), "left_semi").groupBy("row").agg(F.collect_set("pos").alias("dropped"))
     joined = lines.withColumn("row", row).join(found, "row", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped")), lambda i: F.get("lines", i))
-    return joined.select("doc_id", F.size("lines").cast("bigint").alias("n_lines"), F.size("dropped").cast("bigint").alias("n_dropped"), F.when(F.size("dropped") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept"))
+    return joined.select("doc_id", F.size("lines").cast("bigint").alias("n_lines"), F.size("dropped").cast("bigint").alias("n_dropped"), F.when(F.size("dropped") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept"), *[F.col(f"`{c}`") for c in carry])

@@ -202,16 +202,16 @@ def rule_counts(b: pa.RecordBatch, column: int, raw: np.ndarray, at: np.ndarray,
     return {"n_words": np.bincount(text, minlength=n).astype(np.int64), "word_chars": of(points) - of(blank), "n_symbols": of(marks), "n_dup_lines": dup, "n_repeat_words": repeated_words(h, text, n).astype(np.int64)}
 
 
-def quality(docs: DataFrame, model: Model | None, min_words: int = 10, max_repeat_percent: int = 20, threshold: float = 0.5) -> DataFrame:
+def quality(docs: DataFrame, model: Model | None, min_words: int = 10, max_repeat_percent: int = 20, threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
     One pass, no shuffle, a row for each row.  Null text has no words and fails the base rules, as do
     empty texts.  score is the calibrated probability of good quality (null without a model; the base
     rules alone decide then).  Whole texts of any length; equal texts get equal results; extra columns
-    are left out.
+    are left out but for those named in `carry`, which come last.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = need(docs, "doc_id", "text").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
+    rows = need(docs, *dict.fromkeys(("doc_id", "text", *carry))).select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)])
     held = docs.sparkSession.sparkContext.broadcast(model)  # FAMILIES << BITS weights
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -228,6 +228,8 @@ def quality(docs: DataFrame, model: Model | None, min_words: int = 10, max_repea
                 lowered, _, text = words(raw, at, lower=True)
                 p = m.probability(m.logits(raw, at, lowered, text))
                 score, good = pa.array(p), ~failed & (p >= threshold)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(out[c]) for c in columns], pa.array(failed), score, pa.array(good)], ["doc_id", *columns, "base_failed", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(out[c]) for c in columns], pa.array(failed), score, pa.array(good), *b.columns[2:]], ["doc_id", *columns, "base_failed", "score", "kept", *b.schema.names[2:]])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in columns) + ", base_failed boolean, score double, kept boolean")
+    more = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    out = rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in columns) + ", base_failed boolean, score double, kept boolean" + more)
+    return out.withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry) if c not in out.columns}).drop(*[f"_{i}" for i, c in enumerate(carry) if c in out.columns])

@@ -72,6 +72,47 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of `pages`, fetched on day page_id mod 365 of 2024, against a list made by rule from all hosts.
+
+    With n a host's smallest page_id, the host is listed from day n mod 200 if n mod 3 = 0, taken off 60 days
+    later if n mod 2 = 0, and listed again after another 60 days if n mod 5 = 0.
+    """
+    from spindrift.llm.url_filter import filter_captures, host_of
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    captures = pages.withColumn("fetched_at", day(F.col("page_id") % 365))
+    hosts = pages.select("page_id", host_of(F.col("url")).alias("entry")).filter("entry <> ''").groupBy("entry").agg(F.min("page_id").alias("n")).filter("n % 3 = 0")
+    event = lambda rule, later, added: hosts.filter(rule).select("entry", F.lit(added).alias("added"), day(F.col("n") % 200 + later).alias("at"))
+    events = event("true", 0, True).unionByName(event("n % 2 = 0", 60, False)).unionByName(event("n % 2 = 0 AND n % 5 = 0", 120, True))
+    return filter_captures(captures, events).withColumn("fetched_at", F.col("fetched_at").cast("string"))
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetched_at,
+         regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\\.+$', '') AS host
+  FROM pages),
+h AS (SELECT host AS entry, min(page_id) AS n FROM p WHERE host <> '' GROUP BY host HAVING min(page_id) % 3 = 0),
+stays AS (
+  SELECT entry, DATE '2024-01-01' + CAST(n % 200 AS INTEGER) AS since,
+         CASE WHEN n % 2 = 0 THEN DATE '2024-01-01' + CAST(n % 200 + 60 AS INTEGER) END AS until FROM h
+  UNION ALL
+  SELECT entry, DATE '2024-01-01' + CAST(n % 200 + 120 AS INTEGER), NULL FROM h WHERE n % 10 = 0),
+keys AS (
+  SELECT page_id, fetched_at, array_to_string(string_split(host, '.')[i:], '.') AS entry
+  FROM (SELECT *, unnest(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)) AS i FROM p WHERE host <> '')),
+hits AS (
+  SELECT k.page_id, count(*) AS n_matches, arg_max(k.entry, (length(k.entry), k.entry)) AS matched
+  FROM keys k JOIN stays s ON k.entry = s.entry AND k.fetched_at >= s.since AND (s.until IS NULL OR k.fetched_at < s.until)
+  GROUP BY k.page_id)
+SELECT p.page_id, p.host, CAST(p.fetched_at AS VARCHAR) AS fetched_at, coalesce(n_matches, 0) AS n_matches,
+       matched, matched IS NOT NULL AS blocked
+FROM p LEFT JOIN hits USING (page_id)
+""".replace("\\\\", "\\")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spindrift.llm.quality import quality, train
 
@@ -95,8 +136,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_pack, op3_mix, op4_line_dedup, op5_fingerprints, op6_repeats, op8_quality, op9_records, op10_token_counts)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_pack, op3_mix, op4_line_dedup, op5_fingerprints, op6_repeats, op7_url_filter, op8_quality, op9_records, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op7_url_filter": OP7_SQL}
