@@ -58,7 +58,7 @@ class ProjectDump:
 
     @cached_property
     def patterns(self) -> tuple[str, ...]:
-        more = source.ignore_patterns(self.spark, f"{self.o.path.rstrip('/')}/.gitignore") if self.o.use_gitignore else []
+        more = source.ignore_patterns(f"{self.o.path.rstrip('/')}/.gitignore") if self.o.use_gitignore else []
         return tuple(dict.fromkeys([*self.o.exclude, *more]))
 
     @cached_property

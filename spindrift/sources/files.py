@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -56,20 +59,62 @@ def select_files(files: DataFrame, excludes: list[str] | tuple[str, ...] = K.EXC
     return out.join(listed, "rel_path", "left_semi") if listed is not None else out
 
 
+def _file_system(root: str) -> tuple[pafs.FileSystem, str]:
+    if root.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + root[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), str(Path(root).absolute()))
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """rel_path, mtime, size of all files below a folder, or of one file.
+
+    Spark's own readers pass over names that start with _ or ., so names are listed by the driver and contents are read
+    by the executors.
+    """
+    fs, base = _file_system(root)
+    base = base.rstrip("/")
+    single = fs.get_file_info(base).type == pafs.FileType.File
+    found = [fs.get_file_info(base)] if single else fs.get_file_info(pafs.FileSelector(base, recursive=True))
+    start = base.rfind("/") + 1 if single else len(base) + 1
+    rows = [(f.path[start:], f.mtime, f.size) for f in found if f.type == pafs.FileType.File]
+    return spark.createDataFrame(rows, "rel_path string, mtime timestamp, size bigint")
+
+
+def read_contents(files: DataFrame, root: str) -> DataFrame:
+    """files (rel_path, ..., is_preview) with content as bytes, null for files that aren't shown or can't be read."""
+    base = root.rstrip("/")
+    single = _file_system(base)[0].get_file_info(_file_system(base)[1]).type == pafs.FileType.File
+    names = files.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = _file_system(base)
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                raw = None
+                if row.column(names.index("is_preview"))[0].as_py():
+                    path = folder if single else f"{folder}/{row.column(names.index('rel_path'))[0].as_py()}"
+                    try:
+                        with fs.open_input_stream(path) as f:
+                            raw = f.read()
+                    except OSError:
+                        raw = None
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([raw], pa.binary())], [*names, "content"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    return files.mapInArrow(run, f"{schema}, content binary")
+
+
 def scan(spark: SparkSession, root: str, excludes: list[str] | tuple[str, ...] = K.EXCLUDES, preview_exts: list[str] | tuple[str, ...] = K.PREVIEW_EXTS, include_non_preview: bool = False, max_mb: float = K.PREVIEW_MB, listed: DataFrame | None = None, contents: bool = True) -> DataFrame:
     """rel_path, mtime, content, is_preview of the files below a root folder, or of one file.
 
-    Files that aren't shown are never decoded; without contents none is read.
+    Only files that are kept and shown are opened; without contents none is.
     """
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").removeprefix("file://")
-    single = Path(base).is_file()
-    path = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    rel = F.element_at(F.split(path, "/"), -1) if single else F.substring(path, len(base) + 2, 1 << 30)
-    files = read.select(F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("rel_path"), F.col("modificationTime").alias("mtime"), "content")
-    kept = select_files(files, excludes, preview_exts, include_non_preview, listed=listed)
-    text = capped(F.when(F.col("is_preview"), decoded(F.col("content"))), max_mb) if contents else F.lit("")
-    return kept.select("rel_path", "mtime", F.coalesce(text, F.lit("")).alias("content"), "is_preview")
+    kept = select_files(listing(spark, root), excludes, preview_exts, include_non_preview, listed=listed)
+    if not contents:
+        return kept.select("rel_path", "mtime", F.lit("").alias("content"), "is_preview")
+    read = read_contents(kept.select("rel_path", "mtime", "is_preview").repartition("rel_path"), root)
+    return read.select("rel_path", "mtime", F.coalesce(capped(decoded(F.col("content")), max_mb), F.lit("")).alias("content"), "is_preview")
 
 
 def git_files(spark: SparkSession, root: str, mode: str) -> DataFrame:
@@ -85,9 +130,8 @@ def git_files(spark: SparkSession, root: str, mode: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in sorted(found)], "rel_path string")
 
 
-def ignore_patterns(spark: SparkSession, path: str) -> list[str]:
+def ignore_patterns(path: str) -> list[str]:
     """Patterns of an ignore file: no blank lines and comments, outer slashes dropped.  Empty if there is no file."""
-    if not Path(path.removeprefix("file://")).exists():
-        return []
-    rows = spark.read.text(path).select(F.trim("value").alias("p")).filter("p <> '' AND NOT startswith(p, '#')")
-    return [r[0].strip("/") for r in rows.collect()]
+    file = Path(path.removeprefix("file://"))
+    rows = [r.strip() for r in file.read_text("utf-8", "replace").splitlines()] if file.is_file() else []
+    return [r.strip("/") for r in rows if r and not r.startswith("#")]
