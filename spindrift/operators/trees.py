@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.functions import text as T
+
 
 def nodes(paths: DataFrame, path_col: str = "path", folders: DataFrame | None = None) -> DataFrame:
     """path, name, parent, depth, is_dir of all files and of the folders above them; folders (path) are kept even if empty."""
@@ -43,11 +45,23 @@ def rendered(tree: DataFrame, space: str = "", slash: str = "/", max_depth: int
     return rows.select("path", "depth", line.alias("line"), F.transform("way", lambda w: w.place).alias("sort"))
 
 
-def plain_tree(paths: DataFrame, path_col: str = "path", max_depth: int = -1, directories_only: bool = False) -> DataFrame:
-    tree = nodes(paths, path_col)
+def plain_tree(paths: DataFrame, path_col: str = "path", max_depth: int = -1, directories_only: bool = False, exclude: tuple[str, ...] = (), folders: DataFrame | None = None) -> DataFrame:
+    """The plain style: excluded names (shell patterns, any case) go with all below them; folders at the depth limit are listed, not opened."""
+    kept = paths.filter(~_hidden(F.col(path_col), exclude))
+    tree = nodes(kept, path_col, folders.filter(~_hidden(F.col("path"), exclude)) if folders is not None else None)
     return rendered(tree.filter("is_dir") if directories_only else tree, " ", "", max_depth)
 
 
+def _hidden(path: Column, exclude: tuple[str, ...]) -> Column:
+    return F.exists(F.split(path, "/", -1), lambda part: T.matches_any(F.lower(part), [p.lower() for p in exclude]))
+
+
+def flat_json(files: DataFrame) -> DataFrame:
+    """rel_path, json for files (rel_path, size, mtime, preview): one object for each file instead of a nested one."""
+    one = F.struct(T.file_name(F.col("rel_path")).alias("name"), F.col("rel_path").alias("relativePath"), F.lit("file").alias("type"), "size", F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"), "preview")
+    return files.select("rel_path", F.to_json(one).alias("json"))
+
+
 def as_text(lines: DataFrame, root: str | None = None) -> Column | str:
     """The whole picture, on the driver: a report for people, as long as the tree."""
     rows = [r["line"] for r in lines.orderBy("sort").select("line").collect()]

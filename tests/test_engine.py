@@ -157,6 +157,9 @@ def test_trees(spark):
     want = "root/\n├──A/\n│   ├──z/\n│   │   └──q\n│   └──k\n├──empty/\n├──b.txt\n└──c"
     assert trees.as_text(trees.rendered(tree), "root/") == want
     assert trees.as_text(trees.plain_tree(paths, max_depth=1)) == "├── A\n├── b.txt\n└── c"
+    assert trees.as_text(trees.plain_tree(paths, exclude=("a", "C*"))) == "└── b.txt"
+    flat = spark.sql("SELECT 'd/a.py' AS rel_path, 3 AS size, timestamp'2024-01-02 03:04:05' AS mtime, 'x' AS preview")
+    assert json.loads(trees.flat_json(flat).first().json) == {"name": "a.py", "relativePath": "d/a.py", "type": "file", "size": 3, "modified": "2024-01-02T03:04:05", "preview": "x"}
     previews = spark.createDataFrame([("c", "text")], "path string, preview string")
     nested = trees.as_json(trees.nodes(paths), previews, "root")
     assert [c["name"] for c in nested["children"]] == ["A", "b.txt", "c"] and nested["children"][2] == {"name": "c", "preview": "text"} and nested["files_inside"]
