@@ -446,3 +446,33 @@ def test_streamed_windows_equal_the_table(spark, tmp_path):
 
 def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.SQL)
+
+
+# ---------------------------------------------------------------- command line
+
+
+def test_command_line(spark, project, tmp_path):
+    from spindrift.__main__ import _parser, run as command
+
+    call = lambda *args: command(spark, _parser().parse_args(list(args)))
+    assert "### File: a.py" in call("project", "-p", project, "--text", "--outline")
+    assert json.loads(call("project", "-p", project))["files_inside"]
+    assert "├──src/" in call("project", "-p", project, "--tree") and "a.py  [Foo, bar" in call("project", "-p", project, "--dry-run")
+    assert "├── src" in call("tree", project, "--max-depth", "1") and "node_modules" not in call("tree", project, "--exclude", "NODE_*")
+    (tmp_path / "n.ipynb").write_text(json.dumps({"cells": [{"cell_type": "markdown", "source": "x"}]}))
+    assert json.loads(call("notebook", f"{tmp_path}/n.ipynb", "--json"))[0]["source"] == "x"
+    assert call("notebook", f"{tmp_path}/n.ipynb", "--no-markdown").startswith("(No relevant")
+    (tmp_path / "w.docx").write_bytes(word(BODY))
+    assert "[HEADING1] Title" in call("word", f"{tmp_path}/w.docx")
+    (tmp_path / "w.xlsx").write_bytes(workbook(SHEET))
+    assert "=== SHEET MAP: One ===" in call("workbook", f"{tmp_path}/w.xlsx")
+    assert call("answer", "pip install numpy", "--pip") == "package numpy"
+
+
+def test_tokens_of_reports(spark):
+    from spindrift.functions.token_count import tokens
+
+    assert one(spark, tokens(F.col("t")), t="x" * 9) == 2
+    public = pytest.importorskip("public_tokenizers")
+    n = one(spark, tokens(F.col("t"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN), t="Hello world, hello.")
+    assert n == 5
