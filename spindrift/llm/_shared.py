@@ -6,6 +6,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -47,19 +48,24 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
         """The table as written and read again, of the same schema."""
         place = self.path(name)
         df.write.option("compression", "zstd").parquet(place)
         out = self.spark.read.schema(df.schema).parquet(place)
         out._scratch_place = place
-        self.tidy()
+        if tidy:
+            self.tidy()
         return out
 
     def tidy(self) -> None:
         """Let Spark remove shuffle files that no plan of ours needs any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        if self.spark.sparkContext.master.startswith("local["):
+            return
+        for _ in range(2):  # the first round frees what listeners and finalizers still held
+            time.sleep(0.2)
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that no later plan reads."""
