@@ -27,7 +27,7 @@ from spindrift.llm._shared import Scratch, blobs, bounded, groups, mix64, need,
 #: Slots are BANDS x ROWS.  A pair of similarity s shares no bucket with probability (1 - s**ROWS)**BANDS: 4e-7 at 0.85.
 BANDS, ROWS = 25, 5
 #: Documents of a block in the second check: a task holds two blocks' texts.
-BLOCK = 256
+BLOCK = 512
 
 
 def shingles(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +148,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     smaller neighbours (small star), with the result written; the number of rounds grows with the
     logarithm of a component's diameter.  All counts stay on the cluster but for one sum a round.
     """
-    current = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), name)
+    current = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), name, tidy=False)
     last = None
     while True:
         check = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -158,12 +158,12 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = scratch.write(large.filter("a <> b").distinct(), name)
+        large = scratch.write(large.filter("a <> b").distinct(), name, tidy=False)
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        after = scratch.write(small.filter("a <> b").distinct(), name)
+        after = scratch.write(small.filter("a <> b").distinct(), name, tidy=False)
         scratch.drop(current, large)
         current = after
 
@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     big = members.filter("docs > 2")
     rooted = big.join(roots, big["rep"] == roots["doc"], "left").withColumn("root", F.coalesce("root", "rep")).drop("doc")
     per = rooted.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-    open_ = per.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("band", "key", F.col("m.root").alias("main"))
+    open_ = per.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    open_ = open_.select("band", "key", F.col("m.root").alias("main"), (F.col("all") - F.col("m.n")).alias("others"))
     left = scratch.write(rooted.join(open_, ["band", "key"]), "open")
     more = _check_blocks(scratch, rows, reps, left, size, percent)
     roots = components(scratch, links.unionByName(more), "roots")
@@ -207,10 +208,10 @@ def _check_stars(scratch: Scratch, rows: DataFrame, stars: DataFrame, size: int,
     """a, b: hubs and documents that are linked.  A hub's documents are dealt in parts, each with the hub's text."""
     parts = 16
     pairs = scratch.write(stars.select("hub", "rep", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias("part")), "stars")
-    heads = pairs.select("hub", "part").distinct()
-    one = heads.join(rows, heads["hub"] == rows["doc_id"]).select("hub", "part", F.lit(-1).cast("bigint").alias("rep"), "raw")
-    others = pairs.join(rows, pairs["rep"] == rows["doc_id"]).select("hub", "part", "rep", "raw")
-    dealt = one.unionByName(others).withColumn("task", F.xxhash64("hub", "part"))
+    heads = pairs.select(F.col("hub").alias("doc"), "hub", F.lit(-1).cast("bigint").alias("rep"), "part").distinct()
+    asked = heads.unionByName(pairs.select(F.col("rep").alias("doc"), "hub", "rep", "part"))
+    # texts are always shuffled, once: a broadcast of what is asked for would only do for small tables
+    dealt = asked.hint("merge").join(rows, asked["doc"] == rows["doc_id"]).select("hub", "part", "rep", "raw").withColumn("task", F.xxhash64("hub", "part"))
     dealt = dealt.repartition("task").sortWithinPartitions("task", "hub", "part", "rep")
     same = Similar(percent)
 
@@ -235,29 +236,29 @@ def _check_stars(scratch: Scratch, rows: DataFrame, stars: DataFrame, size: int,
 def _check_blocks(scratch: Scratch, rows: DataFrame, reps: DataFrame, left: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b: links between components of a bucket, enough to join them.
 
-    left: band, key, rep, hub, docs, root, main.  A bucket's documents are dealt in blocks; blocks of documents outside the main
-    component meet all blocks.  First on signatures, which cheaply excludes pairs far below the threshold
-    (by over 5 standard deviations) and pairs that meet in an earlier band; then on full texts, sent only where needed.
+    left: band, key, rep, root, main, docs and others (documents of the bucket, and those outside its main component).  The others are
+    dealt in blocks, all documents in other blocks, and each block of others meets each block of all.  First on signatures, which
+    cheaply excludes pairs far below the threshold (by over 5 standard deviations) and pairs that meet in an earlier band; then on
+    full texts, sent only where needed.
     """
     slots = BANDS * ROWS
     s = percent / 100
     least = int(slots * (s - 5.2 * (s * (1 - s) / slots) ** 0.5))
-    blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
-    dealt = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("apart", F.col("root") != F.col("main"))
-    # task (i, j): block i's documents outside the main component against all of block j
-    sides = dealt.select("band", "key", "rep", "root", "apart", "blocks", "block", F.lit(True).alias("right"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    lefts = dealt.filter("apart").select("band", "key", "rep", "root", "apart", "blocks", "block", F.lit(False).alias("right"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    busy = dealt.filter("apart").select("band", "key", F.col("block").alias("_i")).distinct()
-    sides = sides.join(busy.withColumnRenamed("band", "_b").withColumnRenamed("key", "_k"), (F.col("band") == F.col("_b")) & (F.col("key") == F.col("_k")) & (F.col("other") == F.col("_i"))).select("band", "key", "rep", "root", "right", F.col("other").alias("i"), F.col("block").alias("j"))
-    lefts = lefts.select("band", "key", "rep", "root", "right", F.col("block").alias("i"), F.col("other").alias("j"))
+    mark = F.xxhash64("rep")
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    dealt = left.withColumns({"rows": parts("others"), "columns": parts("docs"), "apart": F.col("root") != F.col("main")})
+    dealt = dealt.withColumns({"i": F.pmod(mark, F.col("rows")).cast("int"), "j": F.pmod(mark, F.col("columns")).cast("int")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = dealt.select("band", "key", "rep", "root", "apart", F.lit(True).alias("right"), every("rows").alias("i"), "j")
+    lefts = dealt.filter("apart").select("band", "key", "rep", "root", "apart", F.lit(False).alias("right"), "i", every("columns").alias("j"))
     both = sides.unionByName(lefts)
     both = both.join(reps.select("rep", "bands", "hint"), "rep").withColumn("task", F.xxhash64("band", "key", "i", "j"))
-    both = both.select("task", "band", "rep", "root", "right", "bands", "hint").repartition("task").sortWithinPartitions("task", "right", "rep")
+    both = both.select("task", "band", "rep", "root", "apart", "right", "bands", "hint").repartition("task").sortWithinPartitions("task", "right", "rep")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, "task"):
             t = t.combine_chunks()
-            right = t.column("right").to_numpy(zero_copy_only=False)
+            right, apart = (t.column(c).to_numpy(zero_copy_only=False) for c in ("right", "apart"))
             rep, root = t.column("rep").to_numpy(), t.column("root").to_numpy()
             band = t.column("band")[0].as_py()
             hint = np.frombuffer(b"".join(t.column("hint").to_pylist()), np.uint16).reshape(len(rep), slots)
@@ -266,7 +267,7 @@ def _check_blocks(scratch: Scratch, rows: DataFrame, reps: DataFrame, left: Data
             l, r = np.flatnonzero(~right), np.flatnonzero(right)
             doc, partners = [], []
             for x in l:
-                y = r[root[r] != root[x]]
+                y = r[(root[r] != root[x]) & (~apart[r] | (rep[r] > rep[x]))]  # two others meet twice
                 if band:
                     y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]
                 y = y[(hint[y] == hint[x]).sum(axis=1) >= least]
@@ -280,7 +281,7 @@ def _check_blocks(scratch: Scratch, rows: DataFrame, reps: DataFrame, left: Data
                 yield pa.RecordBatch.from_pydict({"task": pa.array([task] * n, pa.int64()), "rep": pa.array(doc + others.tolist(), pa.int64()), "partners": pa.array([p.tolist() for p in partners] + [[]] * len(others), pa.list_(pa.int64()))})
 
     found = scratch.write(both.mapInArrow(candidates, "task bigint, rep bigint, partners array<bigint>"), "candidates")
-    texts = found.join(rows, found["rep"] == rows["doc_id"]).select("task", "rep", "partners", "raw").repartition("task").sortWithinPartitions("task", "rep")
+    texts = found.hint("merge").join(rows, found["rep"] == rows["doc_id"]).select("task", "rep", "partners", "raw").repartition("task").sortWithinPartitions("task", "rep")
     same = Similar(percent)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
