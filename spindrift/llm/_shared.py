@@ -75,8 +75,18 @@ class Scratch:
             place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Rows of an Arrow batch.  Texts are long: the default of 10,000 rows would hold tens of MB for each task, outside the heap.
+BATCH_ROWS = 1000
+
+
 def need(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that others, whatever their names, don't clash with ours."""
+    """Only the named columns, so that others, whatever their names, don't clash with ours.
+
+    Sets the session's Arrow batches to BATCH_ROWS rows at most.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns missing: {missing}")

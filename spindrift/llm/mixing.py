@@ -117,6 +117,7 @@ def draw_shards(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 def _count_words(docs: DataFrame, id_col: str, source_col: str, text_col: str, with_text: bool, carry: tuple[str, ...] = ()) -> DataFrame:
     rows = need(docs, *dict.fromkeys((id_col, source_col, text_col, *carry))).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("raw"), *[F.col(f"`{c}`") for c in carry])
+    rows = rows.withColumn("_h", F.xxhash64("raw"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +125,9 @@ def _count_words(docs: DataFrame, id_col: str, source_col: str, text_col: str, w
             raw, at = blobs(b.column(2))
             _, _, text = words(raw, at, lower=False)
             sizes = pa.array(np.bincount(text, minlength=b.num_rows).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes, *([b.column(2)] if with_text else []), *b.columns[3:]], ["doc_id", "source", "size", *(["raw"] if with_text else []), *carry])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes, b.columns[-1], *([b.column(2)] if with_text else []), *b.columns[3:-1]], ["doc_id", "source", "size", "h", *(["raw"] if with_text else []), *carry])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, source string, size bigint" + ", raw binary" * with_text + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry))
+    return rows.mapInArrow(run, f"doc_id {kind}, source string, size bigint, h bigint" + ", raw binary" * with_text + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry))
 
 
 class Mix:
@@ -137,15 +138,16 @@ class Mix:
     agree: draws and permutations depend on the seed alone, a source's stream on the ids.
     """
 
-    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 128, seed: int = 7, each: int = 100_000, with_text: bool = False, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: tuple[str, ...] = ()):
+    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 128, seed: int = 7, each: int = 5_000, with_text: bool = False, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: tuple[str, ...] = ()):
         if block < 1 or cap != int(cap):
             raise ValueError("blocks hold a word at least; the cap is a whole number of epochs")
-        if {"doc_id", "source", "size", "raw", "part", "no", "before", "source_no", "source_size", "target", "epoch", "lo", "hi"} & set(carry):
+        if {"doc_id", "source", "size", "h", "row_key", "raw", "part", "no", "before", "source_no", "source_size", "target", "epoch", "lo", "hi"} & set(carry):
             raise ValueError("a carried column has a name of ours")
         self.carry = carry
         spark = self.spark = docs.sparkSession
         self.scratch, self.block, self.seed = Scratch(spark, "mixing"), block, seed
-        sized = self.scratch.write(_count_words(docs, id_col, source_col, text_col, with_text, carry), "sized")
+        self.texts = self.scratch.write(_count_words(docs, id_col, source_col, text_col, with_text, carry).withColumn("row_key", F.monotonically_increasing_id()), "sized")
+        sized = self.texts.select("doc_id", "source", "size", "h", "row_key")  # texts are left out of all windows
         found = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
         if len(found) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -160,7 +162,7 @@ class Mix:
         # the streams: a source's documents in parts, by id within a part, parts one after the other
         parts = salts(max((n for _, n in found.values()), default=1), each)
         stats = spark.createDataFrame([(s, i, n, t) for i, (s, n, t) in enumerate(zip(self.sources, self.sizes, self.targets))], "source string, source_no int, source_size bigint, target double")
-        order = [F.col("doc_id").asc_nulls_first(), "size"] + ([F.xxhash64("raw")] if with_text else [])
+        order = [F.col("doc_id").asc_nulls_first(), "size", "h", "row_key"]
         numbered = sized.join(F.broadcast(stats), sized["source"].eqNullSafe(stats["source"])).drop(stats["source"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))  # MAX_SOURCES rows at most
         within = Window.partitionBy("source_no", "part").orderBy(*order)
         numbered = numbered.withColumn("no", F.row_number().over(within)).withColumn("before", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -222,7 +224,8 @@ class Mix:
         remain as they are in the text, joined by \\n.  Needs with_text.
         """
         runs = self.parts().groupBy("source_no", "part", "no", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))  # blocks of one document at most
-        joined = runs.join(self.rows.select("source_no", "part", "no", "doc_id", "source", "size", "raw", *self.carry), ["source_no", "part", "no"])
+        keyed = runs.join(self.rows.select("source_no", "part", "no", "row_key"), ["source_no", "part", "no"]).select("row_key", "epoch", "runs")
+        joined = keyed.hint("merge").join(self.texts, "row_key")  # the only shuffle of texts
         rows = joined.select("doc_id", "source", "epoch", "size", "raw", F.transform("runs", lambda r: r.lo).alias("lo"), F.transform("runs", lambda r: r.hi).alias("hi"), *self.carry)
         kind = self.rows.schema["doc_id"].dataType.simpleString()
 
@@ -245,5 +248,5 @@ class Mix:
                     out.append("\n".join(pieces))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.string()), *b.columns[7:]], ["doc_id", "source", "epoch", "text", *b.schema.names[7:]])
 
-        more = "".join(f", `{c}` {self.rows.schema[c].dataType.simpleString()}" for c in self.carry)
+        more = "".join(f", `{c}` {self.texts.schema[c].dataType.simpleString()}" for c in self.carry)
         return rows.mapInArrow(run, f"doc_id {kind}, source string, epoch int, text string{more}")

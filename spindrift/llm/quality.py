@@ -93,11 +93,13 @@ def _fit(y: np.ndarray, bucket: np.ndarray, value: np.ndarray, owner: np.ndarray
     size = FAMILIES << BITS
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    x = value * _SCALE
+    x = value * np.float32(_SCALE)
+    w32 = w.astype(np.float32)
     for t in range(1, steps + 1):
-        z = b + np.bincount(owner, x * w[bucket], len(y))
+        w32[:] = w
+        z = b + np.bincount(owner, x * w32[bucket], len(y))
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        grad = np.bincount(bucket, x * g[owner], size) + decay * w
+        grad = np.bincount(bucket, x * g.astype(np.float32)[owner], size) + decay * w
         gb = g.sum()
         m += 0.1 * (grad - m)
         v += 0.01 * (grad * grad - v)
@@ -132,20 +134,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, label_col: s
     value = table.column("values").combine_chunks()
     value = value.chunk(0) if isinstance(value, pa.ChunkedArray) else value
     size = np.diff(lists.offsets.to_numpy())
-    bucket, value = lists.flatten().to_numpy(), value.flatten().to_numpy().astype(float)
+    offsets = lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
+    bucket, value = lists.flatten().to_numpy(), value.flatten().to_numpy()
+    del table, lists
     # a document's side of the split follows its features, not its place in the table
-    sums = np.add.reduceat(np.append(mix64(bucket.astype(np.uint64)), np.uint64(0)), lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]) * (size > 0).astype(np.uint64)
+    sums = np.add.reduceat(np.append(mix64(bucket.astype(np.uint64)), np.uint64(0)), offsets[:-1]) * (size > 0).astype(np.uint64)
     order = np.lexsort((sums, y))
     held = np.zeros(len(y), bool)
     held[order[mix64(sums[order]) % np.uint64(5) == 0]] = True
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
         held[order[::5]] = True
-    owner = np.repeat(np.arange(len(y)), size)
-    place = np.cumsum(~held) - 1
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), size)
+    place = (np.cumsum(~held) - 1).astype(np.int32)
     on = ~held[owner]
     w, b = _fit(y[~held], bucket[on], value[on], place[owner[on]], steps, rate, decay)
-    z = b + np.bincount(owner, _SCALE * value * w[bucket], len(y))
+    z = b + np.bincount(owner, np.float32(_SCALE) * value * w.astype(np.float32)[bucket], len(y))
     model = Model(w.astype(np.float32), b)
     # Platt's scaling, with each class weighted to its share among all labelled rows
     zc, yc = z[held], y[held]
@@ -211,13 +215,15 @@ def quality(docs: DataFrame, model: Model | None, min_words: int = 10, max_repea
     are left out but for those named in `carry`, which come last.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = need(docs, *dict.fromkeys(("doc_id", "text", *carry))).select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)])
+    others = [c for c in carry if c != "text"]
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw")
+    rows = need(docs, *dict.fromkeys(("doc_id", "text", *others))).select("doc_id", raw, F.col("text").isNull().alias("_none"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)])
     held = docs.sparkSession.sparkContext.broadcast(model)  # FAMILIES << BITS weights
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in bounded(batches, "raw", 2 << 20):
+        for b in bounded(batches, "raw", 1 << 20):
             raw, at = blobs(b.column(1))
             exact, _, text = words(raw, at, lower=False)
             out = rule_counts(b, 1, raw, at, exact, text)
@@ -228,8 +234,10 @@ def quality(docs: DataFrame, model: Model | None, min_words: int = 10, max_repea
                 lowered, _, text = words(raw, at, lower=True)
                 p = m.probability(m.logits(raw, at, lowered, text))
                 score, good = pa.array(p), ~failed & (p >= threshold)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(out[c]) for c in columns], pa.array(failed), score, pa.array(good), *b.columns[2:]], ["doc_id", *columns, "base_failed", "score", "kept", *b.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(out[c]) for c in columns], pa.array(failed), score, pa.array(good), *(b.columns[1:] if carry else [])], ["doc_id", *columns, "base_failed", "score", "kept", *(b.schema.names[1:] if carry else [])])
 
-    more = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    more = ", raw binary, _none boolean" + "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)) if carry else ""
     out = rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in columns) + ", base_failed boolean, score double, kept boolean" + more)
-    return out.withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry) if c not in out.columns}).drop(*[f"_{i}" for i, c in enumerate(carry) if c in out.columns])
+    own = ["doc_id", *columns, "base_failed", "score", "kept"]
+    text = F.when(F.col("_none"), None).otherwise(F.col("raw").cast("string")).alias("text")
+    return out.select(*own, *[text if c == "text" else F.col(f"_{others.index(c)}").alias(c) for c in carry if c not in own])
