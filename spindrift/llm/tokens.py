@@ -1,8 +1,8 @@
 """Token ids and token counts under public vocabularies.
 
 A text is cut at white space into chunks that the vocabulary's own pre-tokenizer never joins, so that
-each distinct chunk is encoded once per Python worker and then looked up.  The caches are cleared at a
-fixed number of entries, so memory is bounded whatever the text.
+each distinct chunk is encoded once per Python worker and then looked up.  The caches hold two generations
+of a fixed number of entries, so memory is bounded whatever the text, and chunks in use stay.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from spindrift.llm._shared import bounded, need
 
-#: Chunks kept by a worker at most.
-CACHE = 400_000
+#: Entries of a cache's generation.
+CACHE = 450_000
 
 #: White space of the libraries' patterns (Unicode White_Space), for use inside a character class.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -45,6 +46,8 @@ def byte_symbols() -> list[str]:
     return out
 
 
+#: The array type of 4 bytes.
+_WORD = next(c for c in "IL" if array(c).itemsize == 4)
 _SYMBOL = dict(enumerate(byte_symbols()))
 
 
@@ -52,7 +55,25 @@ def to_symbols(piece: str) -> str:
     return piece.encode().decode("latin-1").translate(_SYMBOL)
 
 
-class Encoder(dict):
+class Cache(dict):
+    """Key -> make(key), in two generations: what the younger one lacks is taken over from the older or made."""
+
+    def __init__(self, make: Callable, most: int | None = None):
+        super().__init__()
+        self.make, self.most, self.old = make, most or CACHE, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Encoder:
     """Chunk of text -> its ids as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
@@ -64,62 +85,48 @@ class Encoder(dict):
             raise ValueError("truncating or padding tokenizers aren't supported")
         self.lowers = kind.get("normalizer") is not None
         self.model = self.library.model
-        self.pieces: dict[str, bytes] = {}
+        self.chunks = Cache(self.chunk)
 
     def library_ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def piece(self, piece: str) -> bytes:
-        """One pre-token, by the library's model."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(to_symbols(piece))], "<u4").tobytes()
-        return ids
+        """One pre-token of letters and perhaps a space before, by the library's model."""
+        return array(_WORD, [t.id for t in self.model.tokenize(piece.replace(" ", _SYMBOL[32]) if piece.isascii() else to_symbols(piece))]).tobytes()
 
 
 class ByteLevelEncoder(Encoder):
     """White space belongs to the following word: chunks are white space and what follows it."""
 
-    def __missing__(self, chunk: str) -> bytes:
+    def chunk(self, chunk: str) -> bytes:
         m = _PLAIN.fullmatch(chunk)
         if m is None:
-            ids = self.library_ids(chunk)
-        else:
-            gap, word, marks = m.groups()
-            ids = self.piece(" " + word) if gap == " " else (self.piece(gap) if gap else b"") + self.piece(word)
-            if marks:
-                ids += self.piece(marks)
-        if len(self) >= CACHE:
-            self.clear()
-        self[chunk] = ids
-        return ids
+            return self.library_ids(chunk)
+        gap, word, marks = m.groups()
+        if not marks and gap != "\n":
+            return self.piece(chunk)
+        known = self.chunks
+        return (known["\n"] + known[word] if gap == "\n" else known[gap + word]) + (known[marks] if marks else b"")
 
     def ids(self, raw: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, _CHUNKS.findall(raw.decode())))
+        return b"".join(map(self.chunks.__getitem__, _CHUNKS.findall(raw.decode())))
 
 
 class WordEncoder(Encoder):
     """White space is dropped and letters are lower-cased: chunks are words."""
 
-    def __missing__(self, chunk: bytes) -> bytes:
+    def chunk(self, chunk: bytes) -> bytes:
         word = chunk.decode()
         m = _PLAIN_WORD.fullmatch(word)
         if m is None:
-            ids = self.library_ids(word)
-        else:
-            ids = self.piece(m[1].lower())
-            if m[2]:
-                ids += self.piece(m[2])
-        if len(self) >= CACHE:
-            self.clear()
-        self[chunk] = ids
-        return ids
+            return self.library_ids(word)
+        if not m[2]:
+            return self.piece(word.lower())
+        return self.chunks[m[1].lower().encode()] + self.chunks[m[2].encode()]
 
     def ids(self, raw: bytes) -> bytes:
         # the special strings are found in the text as it is, so a text that may hold one isn't lower-cased
-        return b"".join(map(self.__getitem__, (raw if b"<|" in raw else raw.lower()).split()))
+        return b"".join(map(self.chunks.__getitem__, (raw if b"<|" in raw else raw.lower()).split()))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -178,7 +185,7 @@ class PairMerger:
         return n - merges
 
 
-class Counter(dict):
+class Counter:
     """Chunk of text -> its number of tokens, without any id.
 
     The library's normaliser and pre-tokenizer give the pieces of unusual chunks; pieces are merged
@@ -198,47 +205,40 @@ class Counter(dict):
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
         self.merger = PairMerger(model["merges"], model.get("end_of_word_suffix") or "")
-        self.pieces: dict[str, int] = {}
+        self.pieces = Cache(self.merger_count, CACHE // 4)
+        self.chunks = Cache(self.chunk)
 
-    def piece(self, symbols: str) -> int:
-        n = self.pieces.get(symbols)
-        if n is None:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            n = self.pieces[symbols] = self.merger.count(list(symbols))
-        return n
+    def merger_count(self, symbols: str) -> int:
+        return self.merger.count(list(symbols))
 
     def plain(self, text: str) -> int:
         if self.front.normalizer is not None:
             text = self.front.normalizer.normalize_str(text)
-        return sum(self.piece(p) for p, _ in self.front.pre_tokenizer.pre_tokenize_str(text))
+        return sum(self.pieces[p] for p, _ in self.front.pre_tokenizer.pre_tokenize_str(text))
 
-    def chunk(self, text: str) -> int:
+    def unusual(self, text: str) -> int:
         if self.special is None:
             return self.plain(text)
         found = len(self.special.findall(text))
         return found + sum(self.plain(part) for part in self.special.split(text) if part)
 
-    def __missing__(self, key) -> int:
+    def chunk(self, key) -> int:
         text = key.decode() if self.words else key
         m = (_PLAIN_WORD if self.words else _PLAIN).fullmatch(text)
         if m is None:
-            n = self.chunk(text)
-        elif self.words:
-            n = self.piece(to_symbols(m[1].lower())) + (self.piece(to_symbols(m[2])) if m[2] else 0)
-        else:
-            gap, word, marks = m.groups()
-            n = self.piece(to_symbols(" " + word)) if gap == " " else (1 if gap else 0) + self.piece(to_symbols(word))
-            n += self.piece(to_symbols(marks)) if marks else 0
-        if len(self) >= CACHE:
-            self.clear()
-        self[key] = n
-        return n
+            return self.unusual(text)
+        known = self.chunks
+        if self.words:
+            return known[m[1].lower().encode()] + known[m[2].encode()] if m[2] else self.merger_count(to_symbols(text.lower()))
+        gap, word, marks = m.groups()
+        if not marks and gap != "\n":
+            return self.merger_count(to_symbols(text))
+        return (known["\n"] + known[word] if gap == "\n" else known[gap + word]) + (known[marks] if marks else 0)
 
     def count(self, raw: bytes) -> int:
         if self.words:
-            return sum(map(self.__getitem__, (raw if b"<|" in raw else raw.lower()).split()))
-        return sum(map(self.__getitem__, _CHUNKS.findall(raw.decode())))
+            return sum(map(self.chunks.__getitem__, (raw if b"<|" in raw else raw.lower()).split()))
+        return sum(map(self.chunks.__getitem__, _CHUNKS.findall(raw.decode())))
 
 
 _COUNTERS: dict[str, Counter] = {}
