@@ -174,7 +174,7 @@ class Places:
         return sequence, offset
 
 
-def pack(pieces: DataFrame, capacity: int, length_col: str = "length", each: int = 200_000, rounds: int = 300) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, length_col: str = "length", each: int = 20_000, rounds: int = 300) -> DataFrame:
     """The rows with sequence_id and offset: sequences are gapless from 0 and hold `capacity` at most.
 
     `pieces` must be a table that reads the same each time (written, not sampled), with lengths from 1
