@@ -84,20 +84,21 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of anchors sorted by (g, e): those whose gram occurs twice or more.
 
     kind 0: the extent occurs twice or more; kind 1: it doesn't; kind 2: once for each repeated extent.
+    Rows whose `many` is 1 stand for several of a batch, whose own runs come with 2 and pass through as kind 0.
     Only one batch and a row are held, however often a gram occurs.
     """
     pending, was = None, (False, False)
     schema = None
 
     def out(cols: list[np.ndarray], pg: np.ndarray, pe: np.ndarray, ng: np.ndarray, ne: np.ndarray) -> pa.RecordBatch:
-        keep = pg | ng
-        again = pe | ne
-        kind = np.where(again, 0, 1)
-        first = np.flatnonzero(keep & ne & ~pe)
-        rows = np.flatnonzero(keep)
+        many = cols[-1]
+        keep = (pg | ng) & (many < 2)
+        kind = np.where(pe | ne | (many > 0), 0, 1)
+        first = np.flatnonzero(keep & (ne | (many == 1)) & ~pe)
+        rows = np.flatnonzero((keep & (many == 0)) | (many == 2))
         take = np.concatenate([rows, first])
         kinds = np.concatenate([kind[rows], np.full(len(first), 2)])
-        return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int8)), *[pa.array(c[take]) for c in cols]], ["kind", *schema])
+        return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int8)), *[pa.array(c[take]) for c in cols[:-1]]], ["kind", *schema[:-1]])
 
     for b in batches:
         if not b.num_rows:
@@ -151,11 +152,28 @@ def repeated_bytes(docs: DataFrame, width: int = 200, hot: int = 20_000, id_col:
         for b in bounded(batches, "raw", 2 << 20):
             raw, at = blobs(b.column(1))
             text, t, lo, hi, g, e = parse(raw, at, width, half)
-            own = b.column(0).to_numpy()[text]
-            yield pa.RecordBatch.from_pydict({"g": g.view(np.int64), "e": e.view(np.int64), "row": own, "lo": lo - at[text], "span": (hi - lo).astype(np.int16)})
-
-    dealt = rows.select("row", "raw").mapInArrow(anchors, "g bigint, e bigint, row bigint, lo bigint, span smallint").repartition("g").sortWithinPartitions("g", "e")
-    found = scratch.write(dealt.mapInArrow(_classify, "kind tinyint, g bigint, e bigint, row bigint, lo bigint, span smallint"), "anchors")
+            # extents found twice here need no partner elsewhere: one stands for all, and their runs go as they are
+            _, one, of, n = np.unique(e, return_index=True, return_inverse=True, return_counts=True)
+            again = n[of] > 1
+            single = np.flatnonzero(~again)
+            stands = one[n > 1]
+            local = np.flatnonzero(again)
+            joined = np.flatnonzero(np.concatenate([[True], (lo[local][1:] != hi[local][:-1] + 1) | (text[local][1:] != text[local][:-1])])) if len(local) else local
+            start, stop = lo[local[joined]], hi[local[np.append(joined[1:], len(local)) - 1]] if len(local) else hi[local]
+            owner = text[local[joined]]
+            spread = mix64(b.column(0).to_numpy()[owner].view(np.uint64) + start.astype(np.uint64))
+            take = np.concatenate([single, stands])
+            yield pa.RecordBatch.from_pydict({
+                "g": np.concatenate([g[take], spread]).view(np.int64),
+                "e": np.concatenate([e[take], spread]).view(np.int64),
+                "row": b.column(0).to_numpy()[np.concatenate([text[take], owner])],
+                "lo": np.concatenate([lo[take] - at[text[take]], start - at[owner]]),
+                "span": np.concatenate([hi[take] - lo[take], stop - start]).astype(np.int32),
+                "many": np.repeat(np.array([0, 1, 2], np.int8), [len(single), len(stands), len(start)]),
+            })
+
+    dealt = rows.select("row", "raw").mapInArrow(anchors, "g bigint, e bigint, row bigint, lo bigint, span int, many tinyint").repartition("g").sortWithinPartitions("g", "e")
+    found = scratch.write(dealt.mapInArrow(_classify, "kind tinyint, g bigint, e bigint, row bigint, lo bigint, span int"), "anchors")
     unsure = found.filter("kind = 1")
     partners = found.filter("kind = 2").join(unsure.select("g").distinct(), "g", "left_semi")
     dictionary = unsure.unionByName(partners.select(*found.columns))
