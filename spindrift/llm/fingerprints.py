@@ -4,7 +4,8 @@ The lexicon is the corpus's terms within a band of inverse document frequency.
 randomised subsets: LEVELS sampling rates times REPLICAS, each term in a subset by bits of its hash.  A
 document's fingerprint is, for each subset, the hash of its sorted distinct terms there.  Sparse
 subsets say something about long texts, denser ones about short texts, so likeness is taken at the level that says
-most.  Only terms in some subset are counted and joined: others can't occur in any fingerprint.
+most.  Only terms in some subset are joined: others can't occur in these subsets.  Texts that are left with few
+band terms are looked at again with all their terms.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ REPLICAS = 8
 EMPTY = "-" * 8
 #: So many subsets must speak for a level to be fully believed.
 ENOUGH = 4
+#: A text has few band terms if fewer than FEW of them are in some subset.  It is mostly outside the band if less than one in OUTSIDE of its terms is in it.
+FEW, OUTSIDE = 8, 8
+#: The lexicon is counted in so many rounds.
+SLICES = 2
 
 
 def _bits(h: Column, replica: int) -> Column:
@@ -43,9 +48,56 @@ def _member(level: int, replica: int) -> Callable[[Column], Column]:
 
 
 def terms(text: Column) -> Column:
-    """Hashes of the distinct lower-cased words that are in some subset."""
+    """Hashes of the distinct lower-cased words."""
     split = F.split(F.lower(text), "[ \\t-\\r]+")
-    return F.filter(F.array_distinct(F.transform(F.filter(split, lambda w: w != ""), lambda w: F.xxhash64(w))), _in_some)
+    return F.array_distinct(F.transform(F.filter(split, lambda w: w != ""), lambda w: F.xxhash64(w)))
+
+
+def _sides(own: str, other: str) -> Column:
+    """term, side: 1 for a term of the text, 2 for one of the edited text, 3 for one of both."""
+    return F.concat(
+        F.transform(F.array_intersect(own, other), lambda t: F.struct(t.alias("term"), F.lit(3).alias("side"))),
+        F.transform(F.array_except(own, other), lambda t: F.struct(t.alias("term"), F.lit(1).alias("side"))),
+        F.transform(F.array_except(other, own), lambda t: F.struct(t.alias("term"), F.lit(2).alias("side"))),
+    )
+
+
+def _terms_of(side: int, rule: Callable[[Column], Column] = lambda t: F.lit(True)) -> Column:
+    return F.transform(F.filter("found", lambda t: (t.side.bitwiseAND(F.lit(side)) != 0) & rule(t)), lambda t: t.term)
+
+
+def _hashes(column: str, members: list[Callable[[Column], Column]]) -> Column:
+    """For each subset, the hash of the column's terms there."""
+    out = []
+    for member in members:
+        part = F.filter(column, member)
+        out.append(F.when(F.size(part) > 0, F.lpad(F.lower(F.hex(F.xxhash64(part).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")).otherwise(EMPTY))
+    return F.array(*out)
+
+
+#: The subsets of a fingerprint over the band, level by level.
+SPARSE = [_member(level, r) for level in LEVELS for r in range(REPLICAS)]
+
+
+def lexicon_of(scratch: Scratch, rows: DataFrame, min_docs: int, min_idf: float) -> DataFrame:
+    """term, band: the terms that min_docs rows have, and whether they are in the band.
+
+    Exact copies weigh once in the band: what a text's further copies add is taken off again.  Terms are counted in
+    SLICES by their hash, one after the other, as all at once would take a shuffle of twice the input.
+    """
+    copies = scratch.write(rows.groupBy("h").agg((F.count(F.lit(1)) - 1).alias("more")).filter("more > 0"), "copies")
+    repeated, extra = copies.agg(F.count(F.lit(1)), F.coalesce(F.sum("more"), F.lit(0))).first()
+    most = max(int((rows.count() - extra) * exp(-min_idf)), min_docs)
+    weighed = rows.select("text", F.lit(1).cast("bigint").alias("weight"))
+    if repeated:
+        weighed = weighed.unionByName(scratch.write(rows.join(copies, "h").groupBy("h").agg(F.first("text").alias("text"), (-F.first("more")).alias("weight")).select("text", "weight"), "repeated"))
+    out = None
+    for i in range(SLICES):
+        here = weighed.select(F.explode(F.filter(terms(F.col("text")), lambda t: F.pmod(F.shiftrightunsigned(t, 40), F.lit(SLICES)) == i)).alias("term"), "weight")
+        counts = here.groupBy("term").agg(F.sum("weight").alias("texts"), F.sum(F.greatest("weight", F.lit(0))).alias("n")).filter(F.col("n") >= min_docs)
+        part = scratch.write(counts.select("term", (F.col("texts") <= most).alias("band")), "lexicon")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def with_next(rows: DataFrame, each: int = 20_000) -> DataFrame:
@@ -71,26 +123,51 @@ def with_next(rows: DataFrame, each: int = 20_000) -> DataFrame:
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: of two fingerprints, the greatest share over levels of equal subsets among those with terms on a side; 1 if equal.
 
-    a, b: arrays of subset hashes.
+    a, b: arrays of subset hashes.  Levels that only one of them has are left out.
     """
     best = F.lit(0.0)
-    for i in range(len(LEVELS)):
+    for i in range(2 * len(LEVELS)):
         x, y = F.slice(a, i * REPLICAS + 1, REPLICAS), F.slice(b, i * REPLICAS + 1, REPLICAS)
         pairs = F.zip_with(x, y, lambda p, q: F.when((p == EMPTY) & (q == EMPTY), 0).when(p == q, 65).otherwise(64))
         total = F.aggregate(pairs, F.lit(0), lambda s, v: s + v)
         # 64 for each subset that speaks, 1 more for each that agrees
         said, same = F.floor(total / 64), total % 64
-        best = F.greatest(best, same / F.greatest(said, F.lit(ENOUGH)))
+        share = same / F.greatest(said, F.lit(ENOUGH))
+        best = F.greatest(best, F.when(F.least(F.size(a), F.size(b)) >= (i + 1) * REPLICAS, share).otherwise(0.0))
     return F.when(a == b, 1.0).otherwise(best)
 
 
+def _poor(scratch: Scratch, rows: DataFrame, stored: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """uid, more_a, more_b: what is added to the fingerprints of texts with few band terms, from all their terms.
+
+    Over terms of any frequency, if less than one in OUTSIDE of the text's terms in the lexicon is in the band.
+    """
+    poor = scratch.write(stored.filter((F.col("n_a") < FEW) | (F.col("n_b") < FEW)).select("uid", "key", "h", "next_key", "next_h", "n_chars", (F.col("n_a") < FEW).alias("few")), "poor")
+    asked = poor.select("key", "h").unionByName(poor.select(F.col("next_key").alias("key"), F.col("next_h").alias("h"))).distinct()
+    texts = scratch.write(rows.join(asked, ["key", "h"], "left_semi").groupBy("key", "h").agg(F.first("text").alias("text")), "poor-texts")
+    follows = texts.select(F.col("key").alias("next_key"), F.col("h").alias("next_h"), F.col("text").alias("next_text"))
+    pairs = poor.join(texts, ["key", "h"]).join(follows, ["next_key", "next_h"])
+    pairs = scratch.write(pairs.select("uid", "few", terms(F.col("text")).alias("own"), terms(_edited()).alias("other")), "poor-terms")
+    used = pairs.select("uid", "few", F.explode(_sides("own", "other")).alias("t")).select("uid", "few", "t.term", "t.side").join(lexicon, "term")
+    held = used.groupBy("uid").agg(F.first("few").alias("few"), F.array_sort(F.collect_list(F.struct("term", "side", "band"))).alias("found"))
+    held = held.withColumns({"mine": _terms_of(1), "theirs": _terms_of(2), "banded": F.size(_terms_of(1, lambda t: t.band))})
+    outside = F.col("few") & (F.col("banded") * OUTSIDE < F.size("mine"))
+    return held.filter(outside).select("uid", _hashes("mine", SPARSE).alias("more_a"), _hashes("theirs", SPARSE).alias("more_b"))
+
+
+def _edited() -> Column:
+    swap = F.floor(F.col("n_chars") / 4).cast("int")
+    return F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - swap), F.substring(F.col("next_text"), F.lit(1), swap))
+
+
 def fingerprints(docs: DataFrame, min_docs: int = 2, min_idf: float = 3.0, id_col: str = "doc_id", text_col: str = "text", each: int = 20_000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    A term is in the band if at least min_docs rows have it and log(rows / rows with it) is min_idf at
-    least.  The edited text has the last quarter of the code points replaced by the first as many of the next row's, by
-    id (null first, equal ids by a hash of the text); the last row is followed by the first.  Null text counts as empty.  A text
-    without a term in any subset has a fingerprint of its own, of its whole text.  Equal texts have equal
+    A term is in the lexicon if at least min_docs rows have it, and in the band if also log(distinct texts /
+    distinct texts with it) is min_idf at least.  The edited text has the last quarter of the code points replaced by the first as many of the
+    next row's, by id (null first, equal ids by a hash of the text); the last row is followed by the first.  Null text counts
+    as empty.  A text with few band terms, nearly all of whose terms are too frequent for the band, also has subsets over its terms of
+    any frequency.  A text without a term in any subset has a fingerprint of its own, of its whole text.  Equal texts have equal
     fingerprints.  Extra columns are left out; an empty table gives an empty one.
     """
     if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
@@ -98,40 +175,23 @@ def fingerprints(docs: DataFrame, min_docs: int = 2, min_idf: float = 3.0, id_co
     scratch = Scratch(docs.sparkSession, "fingerprints")
     rows = need(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.withColumns({"key": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "h": F.xxhash64("text")})
+    lexicon = lexicon_of(scratch, rows, min_docs, min_idf)
     pairs = with_next(rows, each).withColumn("n_chars", F.length("text").cast("bigint"))
-    swap = F.floor(F.col("n_chars") / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - swap), F.substring(F.col("next_text"), F.lit(1), swap))
-    made = pairs.withColumn("edited", edited).select("uid", "doc_id", "key", "h", "next_key", "next_h", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_h"), terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("other"))
+    sampled = lambda c: F.filter(terms(c), _in_some)
+    made = pairs.withColumn("edited", _edited()).select("uid", "doc_id", "key", "h", "next_key", "next_h", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_h"), sampled(F.col("text")).alias("own"), sampled(F.col("edited")).alias("other"))
     table = scratch.write(made, "terms")
-    n = table.count()
-    # the band over all rows; its upper end in rows follows from min_idf
-    most = int(n * exp(-min_idf)) if n else 0
-    lexicon = table.select(F.explode("own").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_docs) & (F.col("n") <= max(most, min_docs))).select("term")
-    sides = F.concat(
-        F.transform(F.array_intersect("own", "other"), lambda t: F.struct(t.alias("term"), F.lit(3).alias("side"))),
-        F.transform(F.array_except("own", "other"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("side"))),
-        F.transform(F.array_except("other", "own"), lambda t: F.struct(t.alias("term"), F.lit(2).alias("side"))),
-    )
-    used = table.select("uid", F.explode(sides).alias("t")).select("uid", "t.term", "t.side").join(lexicon, "term", "left_semi")
+    used = table.select("uid", F.explode(_sides("own", "other")).alias("t")).select("uid", "t.term", "t.side").join(lexicon.filter("band"), "term", "left_semi")
     held = used.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("term", "side"))).alias("found"))  # terms of one text
-
-    def prints(side: int) -> Column:
-        return F.transform(F.filter("found", lambda t: t.side.bitwiseAND(F.lit(side)) != 0), lambda t: t.term)
-
-    def hashes(column: str) -> Column:
-        out = []
-        for level in LEVELS:
-            for r in range(REPLICAS):
-                part = F.filter(column, _member(level, r))
-                out.append(F.when(F.size(part) > 0, F.lpad(F.lower(F.hex(F.xxhash64(part).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")).otherwise(EMPTY))
-        return F.array(*out)
-
     joined = table.drop("own", "other").join(held, "uid", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<term:bigint,side:int>>")))
-    joined = joined.withColumns({"mine": prints(1), "theirs": prints(2)}).withColumns({"a": hashes("mine"), "b": hashes("theirs")}).drop("found", "mine", "theirs")
-    nothing = F.array(*[F.lit(EMPTY)] * (len(LEVELS) * REPLICAS))
-    whole = lambda h: F.array(F.concat(F.lit("x"), F.lower(F.hex(h))))
-    joined = joined.withColumns({"a": F.when(F.col("a") == nothing, whole(F.col("h"))).otherwise(F.col("a")), "b": F.when(F.col("b") == nothing, whole(F.col("edited_h"))).otherwise(F.col("b"))})
+    joined = joined.withColumns({"mine": _terms_of(1), "theirs": _terms_of(2)})
+    joined = joined.withColumns({"a": _hashes("mine", SPARSE), "b": _hashes("theirs", SPARSE), "n_a": F.size("mine"), "n_b": F.size("theirs")}).drop("found", "mine", "theirs")
     stored = scratch.write(joined, "prints")
+    scratch.drop(table)
+    more = _poor(scratch, rows, stored, lexicon)
+    added = lambda c, m: F.concat(c, F.coalesce(m, F.array().cast("array<string>")))
+    whole = lambda c, h: F.when(F.exists(c, lambda x: x != EMPTY), F.col(c)).otherwise(F.array(F.concat(F.lit("x"), F.lower(F.hex(h)))))
+    stored = stored.join(more, "uid", "left").withColumns({"a": added("a", "more_a"), "b": added("b", "more_b")}).drop("more_a", "more_b")
+    stored = scratch.write(stored.withColumns({"a": whole("a", "h"), "b": whole("b", "edited_h")}), "whole")
     following = stored.groupBy(F.col("key").alias("next_key"), F.col("h").alias("next_h")).agg(F.first("a").alias("c"))
     out = stored.join(following, ["next_key", "next_h"])
     return out.select("doc_id", "n_chars", "edited_sha256", F.array_join("a", "").alias("fingerprint"), F.array_join("b", "").alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))

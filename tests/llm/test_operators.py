@@ -252,6 +252,18 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprints(docs.filter("doc_id = 8")).collect()[0].near_next == 1.0
 
 
+def test_fingerprints_of_a_large_group_of_near_copies(spark):
+    common = [f"common{k}" for k in range(80)]
+    group = [" ".join(common[:k] + [f"changed{k}"] + common[k + 1 :]) for k in range(40)]
+    rest = [" ".join(f"v{(i * 7 + k * k) % 300}" for k in range(60)) for i in range(60)]
+    exact = [rest[0]] * 50  # weigh once, so that the terms of rest[0] stay in the band
+    table = spark.createDataFrame(list(enumerate(group + rest + exact)), "doc_id long, text string")
+    rows = sorted(fingerprints.fingerprints(table, 2, 1.0).collect(), key=lambda r: r.doc_id)
+    assert all(not r.fingerprint.startswith("x") for r in rows[:40])
+    assert sum(r.near_next > 0.5 for r in rows[:39]) >= 35 and sum(r.near_edited > 0 for r in rows[:39]) >= 35
+    assert {r.fingerprint for r in rows[100:]} == {rows[40].fingerprint} and not rows[40].fingerprint.startswith("x")
+
+
 @pytest.mark.parametrize("width,hot", [(20, 20_000), (20, 0), (201, 20_000), (2, 3)])
 def test_repeats(docs, empty, width, hot):
     raws = [text(i).encode() for i in range(len(TEXTS))]
