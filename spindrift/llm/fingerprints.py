@@ -47,6 +47,10 @@ def _member(level: int, replica: int) -> Callable[[Column], Column]:
     return lambda t: _bits(t, replica).bitwiseAND(F.lit((1 << level) - 1)) == 0
 
 
+def _cell(bits: int, at: int, cell: int) -> Callable[[Column], Column]:
+    return lambda t: F.shiftrightunsigned(t, at).bitwiseAND(F.lit((1 << bits) - 1)) == cell
+
+
 def terms(text: Column) -> Column:
     """Hashes of the distinct lower-cased words."""
     split = F.split(F.lower(text), "[ \\t-\\r]+")
@@ -77,6 +81,9 @@ def _hashes(column: str, members: list[Callable[[Column], Column]]) -> Column:
 
 #: The subsets of a fingerprint over the band, level by level.
 SPARSE = [_member(level, r) for level in LEVELS for r in range(REPLICAS)]
+#: Two denser levels for texts with few band terms: twice four cells of 1/4 and eight of 1/8 of all terms.  Each term is in a cell, so none is left out.
+DENSE = [_cell(2, at, r) for at in (20, 50) for r in range(4)] + [_cell(3, 34, r) for r in range(REPLICAS)]
+DENSE_LEVELS = len(DENSE) // REPLICAS
 
 
 def lexicon_of(scratch: Scratch, rows: DataFrame, min_docs: int, min_idf: float) -> DataFrame:
@@ -126,13 +133,15 @@ def likeness(a: Column, b: Column) -> Column:
     a, b: arrays of subset hashes.  Levels that only one of them has are left out.
     """
     best = F.lit(0.0)
-    for i in range(2 * len(LEVELS)):
+    for i in range(2 * (len(LEVELS) + DENSE_LEVELS)):
         x, y = F.slice(a, i * REPLICAS + 1, REPLICAS), F.slice(b, i * REPLICAS + 1, REPLICAS)
         pairs = F.zip_with(x, y, lambda p, q: F.when((p == EMPTY) & (q == EMPTY), 0).when(p == q, 65).otherwise(64))
         total = F.aggregate(pairs, F.lit(0), lambda s, v: s + v)
         # 64 for each subset that speaks, 1 more for each that agrees
         said, same = F.floor(total / 64), total % 64
-        share = same / F.greatest(said, F.lit(ENOUGH))
+        # dense levels hold every term, so they are believed however few subsets speak
+        dense = i % (len(LEVELS) + DENSE_LEVELS) >= len(LEVELS)
+        share = same / F.greatest(said, F.lit(1 if dense else ENOUGH))
         best = F.greatest(best, F.when(F.least(F.size(a), F.size(b)) >= (i + 1) * REPLICAS, share).otherwise(0.0))
     return F.when(a == b, 1.0).otherwise(best)
 
@@ -140,7 +149,8 @@ def likeness(a: Column, b: Column) -> Column:
 def _poor(scratch: Scratch, rows: DataFrame, stored: DataFrame, lexicon: DataFrame) -> DataFrame:
     """uid, more_a, more_b: what is added to the fingerprints of texts with few band terms, from all their terms.
 
-    Over terms of any frequency, if less than one in OUTSIDE of the text's terms in the lexicon is in the band.
+    Dense levels over the band, and then all levels over terms of any frequency, if less than one in OUTSIDE of the text's terms in the lexicon is in the band.
+    An edited text has them, too, if it has few band terms itself.
     """
     poor = scratch.write(stored.filter((F.col("n_a") < FEW) | (F.col("n_b") < FEW)).select("uid", "key", "h", "next_key", "next_h", "n_chars", (F.col("n_a") < FEW).alias("few")), "poor")
     asked = poor.select("key", "h").unionByName(poor.select(F.col("next_key").alias("key"), F.col("next_h").alias("h"))).distinct()
@@ -150,9 +160,13 @@ def _poor(scratch: Scratch, rows: DataFrame, stored: DataFrame, lexicon: DataFra
     pairs = scratch.write(pairs.select("uid", "few", terms(F.col("text")).alias("own"), terms(_edited()).alias("other")), "poor-terms")
     used = pairs.select("uid", "few", F.explode(_sides("own", "other")).alias("t")).select("uid", "few", "t.term", "t.side").join(lexicon, "term")
     held = used.groupBy("uid").agg(F.first("few").alias("few"), F.array_sort(F.collect_list(F.struct("term", "side", "band"))).alias("found"))
-    held = held.withColumns({"mine": _terms_of(1), "theirs": _terms_of(2), "banded": F.size(_terms_of(1, lambda t: t.band))})
-    outside = F.col("few") & (F.col("banded") * OUTSIDE < F.size("mine"))
-    return held.filter(outside).select("uid", _hashes("mine", SPARSE).alias("more_a"), _hashes("theirs", SPARSE).alias("more_b"))
+    band = lambda t: t.band
+    held = held.withColumns({"mine": _terms_of(1), "theirs": _terms_of(2), "mine_band": _terms_of(1, band), "theirs_band": _terms_of(2, band)})
+    nothing = F.array().cast("array<string>")
+    outside = F.col("few") & (F.size("mine_band") * OUTSIDE < F.size("mine"))
+    wide = lambda c: F.when(outside, _hashes(c, SPARSE + DENSE)).otherwise(nothing)
+    more_a = F.when(F.col("few"), F.concat(_hashes("mine_band", DENSE), wide("mine"))).otherwise(nothing)
+    return held.select("uid", more_a.alias("more_a"), F.concat(_hashes("theirs_band", DENSE), wide("theirs")).alias("more_b"))
 
 
 def _edited() -> Column:
@@ -166,7 +180,7 @@ def fingerprints(docs: DataFrame, min_docs: int = 2, min_idf: float = 3.0, id_co
     A term is in the lexicon if at least min_docs rows have it, and in the band if also log(distinct texts /
     distinct texts with it) is min_idf at least.  The edited text has the last quarter of the code points replaced by the first as many of the
     next row's, by id (null first, equal ids by a hash of the text); the last row is followed by the first.  Null text counts
-    as empty.  A text with few band terms, nearly all of whose terms are too frequent for the band, also has subsets over its terms of
+    as empty.  A text with few band terms also has denser subsets, in which each of them is; if nearly all of its terms are too frequent for the band, it has subsets over its terms of
     any frequency.  A text without a term in any subset has a fingerprint of its own, of its whole text.  Equal texts have equal
     fingerprints.  Extra columns are left out; an empty table gives an empty one.
     """

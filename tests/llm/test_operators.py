@@ -264,6 +264,15 @@ def test_fingerprints_of_a_large_group_of_near_copies(spark):
     assert {r.fingerprint for r in rows[100:]} == {rows[40].fingerprint} and not rows[40].fingerprint.startswith("x")
 
 
+def test_fingerprints_of_short_texts(spark):
+    texts = [t for i in range(60) for t in (f"one{i} two{i} three{i} four{i} five{i} six{i}", f"one{i} two{i} three{i} four{i} five{i} other{i}")]
+    alone = [t for i in range(30) for t in (f"only{i}", f"only{i} new{i}")]  # one term in the band
+    rows = sorted(fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts + alone)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    assert not any(r.fingerprint.startswith("x") for r in rows)
+    assert all(r.near_next == 1.0 for r in rows[::2])  # their terms in the lexicon are equal
+    assert sum(r.near_edited > 0.3 for r in rows[:120]) >= 110
+
+
 @pytest.mark.parametrize("width,hot", [(20, 20_000), (20, 0), (201, 20_000), (2, 3)])
 def test_repeats(docs, empty, width, hot):
     raws = [text(i).encode() for i in range(len(TEXTS))]
