@@ -208,11 +208,11 @@ def _check_stars(scratch: Scratch, rows: DataFrame, stars: DataFrame, size: int,
     """a, b: hubs and documents that are linked.  A hub's documents are dealt in parts, each with the hub's text."""
     parts = 16
     pairs = scratch.write(stars.select("hub", "rep", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias("part")), "stars")
-    heads = pairs.select(F.col("hub").alias("doc"), "hub", F.lit(-1).cast("bigint").alias("rep"), "part").distinct()
-    asked = heads.unionByName(pairs.select(F.col("rep").alias("doc"), "hub", "rep", "part"))
+    heads = pairs.select(F.col("hub").alias("doc"), "hub", F.col("hub").alias("rep"), "part", F.lit(False).alias("follows")).distinct()
+    asked = heads.unionByName(pairs.select(F.col("rep").alias("doc"), "hub", "rep", "part", F.lit(True).alias("follows")))
     # texts are always shuffled, once: a broadcast of what is asked for would only do for small tables
-    dealt = asked.hint("merge").join(rows, asked["doc"] == rows["doc_id"]).select("hub", "part", "rep", "raw").withColumn("task", F.xxhash64("hub", "part"))
-    dealt = dealt.repartition("task").sortWithinPartitions("task", "hub", "part", "rep")
+    dealt = asked.hint("merge").join(rows, asked["doc"] == rows["doc_id"]).select("hub", "part", "rep", "raw", "follows").withColumn("task", F.xxhash64("hub", "part"))
+    dealt = dealt.repartition("task").sortWithinPartitions("task", "hub", "part", "follows", "rep")
     same = Similar(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +220,10 @@ def _check_stars(scratch: Scratch, rows: DataFrame, stars: DataFrame, size: int,
         for b in bounded(batches, "raw", 1 << 20):
             hubs, parts_, reps = (b.column(i).to_numpy() for i in (0, 1, 2))
             sets = _sets(b.column(3).to_pylist(), size)
+            follows = b.column(4).to_pylist()
             a, c = [], []
             for i in range(b.num_rows):
-                if reps[i] < 0:
+                if not follows[i]:
                     hub, head = (hubs[i], parts_[i]), sets[i]
                 elif hub != (hubs[i], parts_[i]):
                     raise ValueError("a hub's text is missing")
@@ -230,7 +231,7 @@ def _check_stars(scratch: Scratch, rows: DataFrame, stars: DataFrame, size: int,
                     a.append(int(reps[i])), c.append(int(hubs[i]))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
 
-    return dealt.select("hub", "part", "rep", "raw").mapInArrow(run, "a bigint, b bigint")
+    return dealt.select("hub", "part", "rep", "raw", "follows").mapInArrow(run, "a bigint, b bigint")
 
 
 def _check_blocks(scratch: Scratch, rows: DataFrame, reps: DataFrame, left: DataFrame, size: int, percent: int) -> DataFrame:

@@ -96,6 +96,13 @@ def test_near_duplicate_chain_within_buckets(spark):
     assert [got[k] for k in range(60)] == root
 
 
+def test_near_duplicates_of_negative_ids(spark):
+    words = [[f"g{g}w{k}" for k in range(60)] for g in range(2)]
+    rows = [(-10 + g * 2 + k, " ".join(words[g] + [f"end{k}"] * k)) for g in range(2) for k in range(2)]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == {-10: -10, -9: -10, -8: -8, -7: -8}
+
+
 def test_superminhash_estimates_similarity_with_less_variance():
     rng = np.random.default_rng(0)
     for n in (4, 40, 1500):
