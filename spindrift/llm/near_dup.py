@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm._shared import Scratch, blobs, bounded, groups, mix64, need, words
@@ -168,17 +168,26 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         current = after
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """The id, or for a null one a number from 2**62 up, from the text."""
+    made = F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b""))).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    return F.coalesce(doc_id.cast("bigint"), made)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row.
 
     Words are maximal runs without ASCII white space, A-Z lower-cased; a set is the distinct `size`-word
     shingles.  Documents with 100 * intersection >= percent * union are linked.  component_id is the smallest
     id reachable.  Null texts and texts without words have an empty set and stay alone.  Rows of equal id are
-    one document if their sets are equal; ids must tell other documents apart.  Null ids raise.  Other columns are left out.
+    one document if their sets are equal; ids must tell other documents apart.  Rows of null id are told apart by their texts, come after ids below 2**62, and have a
+    null id in the result; so has a group without another id.  Other columns are left out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
-    rows = need(docs, id_col, text_col).select(F.when(F.col(f"`{id_col}`").isNull(), F.raise_error(F.lit("a document has no id"))).otherwise(F.col(f"`{id_col}`")).cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("raw"))
+    rows = need(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("raw"))
+    missing = scratch.write(rows.filter("id IS NULL").select(row_key(F.col("id"), F.col("raw")).alias("key")).distinct(), "null-ids")
+    rows = rows.select(row_key(F.col("id"), F.col("raw")).alias("doc_id"), "raw")
     signed = scratch.write(_sign(rows, size), "signed")
     # equal sets: one representative
     full = signed.filter("n_shingles > 0")
@@ -201,7 +210,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     named = signed.join(reps.select("s1", "s2", "rep"), ["s1", "s2"], "left")
     out = named.join(roots, named["rep"] == roots["doc"], "left")
     component = F.coalesce("root", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(component).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(component).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if missing.isEmpty():
+        return out
+    for c in ("doc_id", "component_id"):
+        out = out.join(missing, out[c] == missing["key"], "left").withColumn(c, F.when(F.col("key").isNull(), F.col(c))).drop("key")
+    return out
 
 
 def _check_stars(scratch: Scratch, rows: DataFrame, stars: DataFrame, size: int, percent: int) -> DataFrame:

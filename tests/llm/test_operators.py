@@ -103,6 +103,14 @@ def test_near_duplicates_of_negative_ids(spark):
     assert got == {-10: -10, -9: -10, -8: -8, -7: -8}
 
 
+def test_near_duplicates_of_null_ids(spark):
+    words = [" ".join(f"g{g}w{k}" for k in range(60)) for g in range(3)]
+    rows = [(None, words[0]), (7, words[0] + " end"), (None, words[1]), (None, words[1] + " end"), (3, words[2]), (None, None)]
+    got = [tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).select("doc_id", "n_shingles", "component_id", "kept").collect()]
+    assert len(got) == 6 and {(7, 57, 7, True), (3, 56, 3, True), (None, 56, 7, False), (None, 0, None, True)} <= set(got)
+    assert sorted(kept for d, n, c, kept in got if d is None and n and c is None) == [False, True]
+
+
 def test_superminhash_estimates_similarity_with_less_variance():
     rng = np.random.default_rng(0)
     for n in (4, 40, 1500):
