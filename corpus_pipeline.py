@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.llm._shared import Scratch, documents
 from spindrift.llm.lines import dedup_lines
 from spindrift.llm.mixing import Mix
-from spindrift.llm.near_dup import near_duplicates
+from spindrift.llm.near_dup import near_duplicates, row_key
 from spindrift.llm.packing import pack_documents
 from spindrift.llm.quality import quality, train
 from spindrift.llm.queries import vocabulary
@@ -29,9 +29,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each near-duplicate group."""
-    kept = near_duplicates(docs, size=5, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"] == kept["_kept"], "left_semi").select(*COLUMNS)
+    """The smallest document of each near-duplicate group, once: repeated rows of equal id and text are one."""
+    keyed = docs.withColumn("_key", row_key(docs["doc_id"], docs["text"]))
+    kept = near_duplicates(keyed, size=5, percent=80, id_col="_key").filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    held = keyed.join(kept.hint("merge"), keyed["_key"] == kept["_kept"], "left_semi")
+    return held.dropDuplicates(["_key", "text"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

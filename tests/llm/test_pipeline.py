@@ -50,6 +50,15 @@ def test_stages(spark):
     assert max(held.values()) <= 2048
 
 
+def test_near_dedup_keeps_one_of_repeated_rows(spark):
+    words = [" ".join(f"g{g}w{k}" for k in range(60)) for g in range(3)]
+    rows = [(1, words[0]), (2, words[0] + " end"), (None, words[1]), (4, words[2]), (5, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows * 2], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.minhash_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(str, (r.doc_id for r in got.collect()))) == ["1", "4", "5", "None"]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_registered():
     import __spark_entry__ as entry
