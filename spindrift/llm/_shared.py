@@ -93,6 +93,15 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name for our own use that the table doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{base}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

@@ -3,11 +3,16 @@
 The lengths' histogram, which has at most `capacity` entries whatever the corpus, goes to the driver.
 A configuration (a multiset of lengths that fits one sequence) is a column of a covering linear
 program: the least number of sequences so that every length is covered as often as it occurs.  It is
-solved by multiplicative weights: a length's weight falls as it gets covered, its price is its weight
-over its count, and the dearest configuration at these prices is found by knapsack dynamic
-programming.  Multiplicities are rounded down; what is left is packed best fit, longest first, on the
-histogram.  The plan is a list of (configuration, multiplicity), so its size doesn't grow with the
-number of documents.  Each piece then finds its place from its rank among pieces of its length.
+solved by multiplicative weights: a length's price is its weight, which falls as the length gets covered, and the
+dearest configurations at these prices are found by bounded-knapsack dynamic programming, one for each length that
+it holds.  Prices also bound the program from below (their total over the dearest configuration's), so rounds
+end when the multiplicities, divided by the least coverage, are near that bound.
+
+Rounding goes in passes.  Configurations that the best prices hold worth a full sequence are taken as often as the
+whole part of their multiplicity, then once more, as long as their pieces last; the program is solved
+again for what is left.  Only the last half percent of the pieces, or what no such configuration fits, is packed best fit.  The plan is a
+list of (configuration, multiplicity), so its size doesn't grow with the number of documents.  Each piece then finds
+its place from its rank among pieces of its length.
 """
 
 from __future__ import annotations
@@ -21,58 +26,117 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm._shared import Scratch, bounded, need, salts
+from spindrift.llm._shared import Scratch, bounded, free_name, need, salts
 from spindrift.llm.tokens import encoder
 
 #: A configuration: ((length, how often), ...), longest first.
 Config = tuple[tuple[int, int], ...]
 
 
-def dearest(price: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack by dynamic programming over the capacity, then trimmed to the counts."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1, np.int64)
-    order = np.argsort(lengths)
-    size, value = lengths[order], price[order]
-    for c in range(int(size[0]), capacity + 1):
-        k = np.searchsorted(size, c, side="right")
-        gain = best[c - size[:k]] + value[:k]
-        j = int(gain.argmax())
-        if gain[j] > best[c - 1]:
-            best[c], pick[c] = gain[j], order[j]
-        else:
-            best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
-    while c >= size[0]:
-        if pick[c] < 0:
-            c -= 1
-            continue
-        j = int(pick[c])
-        out[j] = out.get(j, 0) + 1
-        c -= int(lengths[j])
-    return {j: min(n, int(counts[j])) for j, n in out.items()}
-
-
-def solve_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[dict[int, int], float]]:
-    """Configurations with fractional multiplicities, by multiplicative weights.
-
-    Prices start at the lengths, which is the dual solution if nothing is wasted.  Each round takes the
-    dearest configuration as often as half its scarcest length allows, and each length's weight falls
-    exponentially in the share of it that is covered.
+class Knapsack:
+    """Dearest multisets of lengths within a room, no length more often than it occurs.
+
+    A length is split into items of 1, 2, 4, ... copies, so that the dynamic program is one vector step an item.
+    """
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, capacity: int):
+        self.capacity = capacity
+        of, copies = [], []
+        for j in np.argsort(-lengths):
+            left, k = min(int(counts[j]), capacity // int(lengths[j])), 1
+            while left:
+                k = min(k, left)
+                of.append(int(j)), copies.append(k)
+                left, k = left - k, 2 * k
+        self.of, self.copies = np.array(of), np.array(copies)
+        self.size = lengths[self.of] * self.copies
+
+    def solve(self, price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The greatest price for each room, and for each item and room whether the item is taken there."""
+        best = np.zeros(self.capacity + 1)
+        taken = np.zeros((len(self.of), self.capacity + 1), bool)
+        for i, (size, value) in enumerate(zip(self.size.tolist(), (price[self.of] * self.copies).tolist())):
+            gain = best[: self.capacity + 1 - size] + value
+            np.greater(gain, best[size:], out=taken[i, size:])
+            np.maximum(best[size:], gain, out=best[size:])
+        return best, taken
+
+    def contents(self, taken: np.ndarray, rooms: np.ndarray) -> list[dict[int, int]]:
+        """What is in each of the rooms, as length index -> copies; all rooms are traced together."""
+        room = rooms.copy()
+        out: list[dict[int, int]] = [{} for _ in rooms]
+        for i in range(len(self.of) - 1, -1, -1):
+            hit = np.flatnonzero(taken[i][room])
+            if len(hit):
+                room[hit] -= self.size[i]
+                j, k = int(self.of[i]), int(self.copies[i])
+                for r in hit.tolist():
+                    out[r][j] = out[r].get(j, 0) + k
+        return out
+
+
+#: A round adds at most STEP to a length's coverage; its weight falls by exp(-RATE * coverage); configurations within
+#: NEAR of the dearest are taken.  Rounds end when multiplicities are within GAP of the lower bound.
+STEP, RATE, NEAR, GAP = 0.2, 4.0, 0.03, 0.2
+
+
+def solve_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[tuple[dict[int, int], float]], np.ndarray, float]:
+    """Configurations with fractional multiplicities that cover every length; prices at which no configuration is worth more than 1; a lower bound.
+
+    The first prices are the lengths, which solve the dual program if nothing is wasted.
     """
+    sack = Knapsack(lengths, counts, capacity)
+    often = counts.tolist()
     covered = np.zeros(len(lengths))
-    found: dict[tuple, list] = {}
-    for _ in range(rounds):
-        price = lengths * np.exp(-rate * covered)
-        config = dearest(price, lengths, counts, capacity)
-        x = min(counts[j] / n for j, n in config.items()) / 2
-        found.setdefault(tuple(sorted(config.items())), [config, 0.0])[1] += x
-        for j, n in config.items():
-            covered[j] += x * n / counts[j]
-        if covered.min() >= 1:
-            break
-    return [(config, x) for config, x in found.values()]
+    found: dict[tuple, float] = {}
+    bound, total, dual = 0.0, 0.0, None
+    while True:
+        price = lengths * np.exp(-RATE * (covered - covered.min()))
+        best, taken = sack.solve(price)
+        top = best[capacity]
+        below = float((price * counts).sum() / top)
+        if below > bound:
+            bound, dual = below, price / top
+        # each length's dearest configuration, the scarcest lengths first; the scarcest one's always counts
+        near = price + best[capacity - lengths] >= (1 - NEAR) * top
+        near[covered.argmin()] = True
+        own = np.flatnonzero(near)
+        own = own[np.argsort(covered[own], kind="stable")]
+        added = [0.0] * len(often)
+        for j, config in zip(own.tolist(), sack.contents(taken, capacity - lengths[own])):
+            if added[j] >= STEP:
+                continue
+            config[j] = min(config.get(j, 0) + 1, often[j])
+            x = min((STEP - added[k]) * often[k] / n for k, n in config.items())
+            if x <= 1e-3 * STEP * often[j] / config[j]:
+                continue
+            for k, n in config.items():
+                added[k] += x * n / often[k]
+            key = tuple(sorted(config.items()))
+            found[key] = found.get(key, 0.0) + x
+            total += x
+        covered += added
+        least = float(covered.min())
+        if least > 0 and total <= (1 + gap) * least * bound:
+            return [(dict(c), x / least) for c, x in found.items()], dual, bound
+
+
+def round_down(parts: list[tuple[dict[int, int], float]], worth: np.ndarray, left: np.ndarray) -> list[tuple[dict[int, int], int]]:
+    """Whole multiplicities of the configurations worth a full sequence, as far as pieces last; `left` is reduced.
+
+    Configurations of few pieces come first: what is left is then small and easier to place.
+    """
+    full = [(c, x) for c, x in parts if sum(worth[j] * n for j, n in c.items()) >= 1 - 1e-9]
+    full.sort(key=lambda p: (sum(p[0].values()), -p[1]))
+    out = []
+    for whole in (True, False):
+        for config, x in full:
+            times = min(int(x) if whole else 1, min(int(left[j]) // n for j, n in config.items()))
+            if times > 0:
+                for j, n in config.items():
+                    left[j] -= times * n
+                out.append((config, times))
+    return out
 
 
 def best_fit(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[Config, int]]:
@@ -116,30 +180,33 @@ def best_fit(lengths: list[int], counts: list[int], capacity: int) -> list[tuple
     return [(items, times) for groups in open_.values() for items, times in groups]
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 300, rate: float = 1.0) -> list[tuple[Config, int]]:
-    """Configurations and how many sequences have each; together they hold every piece exactly once."""
+def plan(histogram: dict[int, int], capacity: int, gap: float = GAP) -> tuple[list[tuple[Config, int]], int]:
+    """Configurations and how many sequences have each, holding every piece once; and how many pieces came by the linear program."""
     out: list[tuple[Config, int]] = []
     if capacity in histogram:
         out.append((((capacity, 1),), histogram[capacity]))
     lengths = np.array(sorted(n for n in histogram if n < capacity), np.int64)
     if not len(lengths):
-        return out
+        return out, 0
     if lengths[0] < 1 or max(histogram) > capacity:
         raise ValueError("lengths must be from 1 to the capacity")
     counts = np.array([histogram[int(n)] for n in lengths], np.int64)
     left = counts.copy()
-    parts = solve_lp(lengths, counts, capacity, rounds, rate)
-    # fullest configurations first: what they waste is wasted in every copy
-    for config, x in sorted(parts, key=lambda p: -sum(int(lengths[j]) * n for j, n in p[0].items())):
-        times = min(int(x), min(int(left[j]) // n for j, n in config.items()))
-        if times > 0:
-            for j, n in config.items():
-                left[j] -= times * n
-            out.append((tuple(sorted(((int(lengths[j]), n) for j, n in config.items()), reverse=True)), times))
+    while 200 * int(left.sum()) > int(counts.sum()):
+        on = np.flatnonzero(left)
+        size, here = lengths[on], left[on]
+        before = int(here.sum())
+        parts, worth, _ = solve_lp(size, here.copy(), capacity, gap)
+        for config, times in round_down(parts, worth, here):
+            out.append((tuple(sorted(((int(size[j]), n) for j, n in config.items()), reverse=True)), times))
+        left[on] = here
+        if before - int(here.sum()) < before / 10:
+            break
+    by_program = int(counts.sum() - left.sum())
     rest = [(int(n), int(c)) for n, c in zip(lengths, left) if c]
     if rest:
         out += best_fit([n for n, _ in rest], [c for _, c in rest], capacity)
-    return out
+    return out, by_program
 
 
 class Places:
@@ -174,34 +241,34 @@ class Places:
         return sequence, offset
 
 
-def pack(pieces: DataFrame, capacity: int, length_col: str = "length", each: int = 20_000, rounds: int = 300) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, length_col: str = "length", each: int = 1_000, gap: float = GAP) -> DataFrame:
     """The rows with sequence_id and offset: sequences are gapless from 0 and hold `capacity` at most.
 
     `pieces` must be a table that reads the same each time (written, not sampled), with lengths from 1
-    to the capacity; null lengths raise.  Equal rows are told apart by order and get places of their own.
-    A length that a third of all pieces share is ranked in parts of about `each` rows, whose sizes are
-    summed up.  An empty table gives an empty one.
+    to the capacity; null lengths raise.  Columns already named sequence_id or offset are replaced, others stay whatever
+    their names.  Equal rows are told apart by order and get places of their own.  A length's pieces are ranked in parts
+    of about `each` rows, whose sizes are summed up, so no length, however common, is ranked in one task.  An empty table gives an empty one.
     """
     spark = pieces.sparkSession
-    clash = {"sequence_id", "offset", "_part", "_rank", "_base"} & set(pieces.columns)
-    if clash:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    pieces = pieces.drop("sequence_id", "offset")
+    part, size_, part_, n_, base_, rank = (free_name(pieces, n) for n in ("part", "size", "p", "n", "base", "rank"))
     size = F.col(f"`{length_col}`")
     hist = {r[0]: r[1] for r in pieces.groupBy(size.cast("bigint").alias("n")).count().collect()}  # capacity rows at most
     if None in hist:
         raise ValueError("a piece has no length")
     if hist and (min(hist) < 1 or max(hist) > capacity):
         raise ValueError("lengths must be from 1 to the capacity")
-    places = spark.sparkContext.broadcast(Places(plan(hist, capacity, rounds)))  # bounded by the number of lengths
+    places = spark.sparkContext.broadcast(Places(plan(hist, capacity, gap)[0]))  # bounded by the number of lengths
     ids = [F.col(f"`{c}`") for c in pieces.columns]
-    parts = salts(sum(hist.values()), each)
-    dealt = pieces.withColumn("_part", F.pmod(F.xxhash64(*ids), F.lit(parts)).cast("int"))
-    sums = dealt.groupBy(size.alias("_size"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    base = sums.select("_size", "_p", (F.sum("_n").over(Window.partitionBy("_size").orderBy("_p")) - F.col("_n")).alias("_base"))
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy(size, "_part").orderBy(*ids)) - 1)
-    if parts > 1:
-        ranked = ranked.join(base, (size == F.col("_size")) & (F.col("_part") == F.col("_p"))).withColumn("_rank", F.col("_rank") + F.col("_base"))
-    ranked = ranked.select(*ids, F.col("_rank").cast("bigint").alias("_rank"))
+    split = {n: salts(c, each) for n, c in hist.items() if c > each}
+    parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in split.items() for x in kv]), size.cast("int")), F.lit(1)) if split else F.lit(1)  # capacity entries at most
+    dealt = pieces.withColumn(part, F.pmod(F.xxhash64(*ids), parts).cast("int"))
+    ranked = dealt.withColumn(rank, (F.row_number().over(Window.partitionBy(size, part).orderBy(*ids)) - 1).cast("bigint"))
+    if split:
+        sums = dealt.filter(size.isin(*split)).groupBy(size.alias(size_), F.col(part).alias(part_)).agg(F.count(F.lit(1)).alias(n_))
+        base = sums.select(size_, part_, (F.sum(n_).over(Window.partitionBy(size_).orderBy(part_)) - F.col(n_)).alias(base_))
+        ranked = ranked.join(base, (size == F.col(size_)) & (F.col(part) == F.col(part_)), "left").withColumn(rank, F.col(rank) + F.coalesce(F.col(base_), F.lit(0)))
+    ranked = ranked.select(*ids, rank)
     kept = len(pieces.columns)
     where = pieces.columns.index(length_col)
 

@@ -162,7 +162,7 @@ def check_sequences(rows, capacity):
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 400), max_size=30))
 def test_plan_holds_every_piece_once(hist):
-    configs = packing.plan(hist, 60, rounds=30)
+    configs, _ = packing.plan(hist, 60)
     held = Counter()
     for items, times in configs:
         assert sum(n * k for n, k in items) <= 60
@@ -179,6 +179,43 @@ def test_plan_holds_every_piece_once(hist):
         assert (offset[on] == np.cumsum(size[on]) - size[on]).all()
 
 
+def test_plan_packs_by_the_linear_program():
+    """At least nine tenths of the pieces are placed by the program, in no more sequences than best fit alone needs and one."""
+    rng = np.random.default_rng(3)
+    for pieces, spread in ((2_000, 1.0), (20_000, 0.7), (3_000_000, 1.0)):
+        size = np.clip(rng.lognormal(5.5, spread, pieces).astype(int), 1, 2047)
+        hist = {int(n): int(c) for n, c in zip(*np.unique(size, return_counts=True))}
+        configs, placed = packing.plan(hist, 2048)
+        alone = packing.best_fit(list(hist), list(hist.values()), 2048)
+        assert placed >= 0.9 * pieces
+        assert sum(t for _, t in configs) <= 1.0001 * sum(t for _, t in alone) + 1
+
+
+def test_linear_program_covers_every_length_within_its_bound():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        lengths = np.unique(rng.integers(1, 200, 12))
+        counts = rng.integers(1, 50, len(lengths))
+        parts, worth, bound = packing.solve_lp(lengths, counts, 200)
+        covered = np.zeros(len(lengths))
+        for config, x in parts:
+            assert sum(lengths[j] * n for j, n in config.items()) <= 200
+            assert sum(worth[j] * n for j, n in config.items()) <= 1 + 1e-9
+            for j, n in config.items():
+                covered[j] += x * n
+        assert (covered >= counts * (1 - 1e-9)).all()
+        assert (worth * counts).sum() == pytest.approx(bound)
+        assert bound <= sum(x for _, x in parts) <= 1.2 * bound + 1e-6
+
+
+def test_packing_replaces_columns_of_its_names(spark):
+    names = ("sequence_id", "offset", "_part", "_rank", "_base", "_size", "_p", "_n")
+    rows = spark.range(30).select((F.col("id") % 9 + 1).alias("length"), *[F.col("id").alias(n) for n in names])
+    got = packing.pack(Scratch(spark, "test").write(rows, "pieces"), 20, each=2).collect()
+    check_sequences(got, 20)
+    assert sorted(r._rank for r in got) == list(range(30))
+
+
 def test_hot_length_is_ranked_in_parts(spark):
     table = Scratch(spark, "test").write(spark.range(500).select(F.col("id").alias("k"), F.lit(7).cast("long").alias("length")), "pieces")
     rows = packing.pack(table, 20, each=40).collect()
