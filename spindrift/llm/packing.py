@@ -76,58 +76,84 @@ class Knapsack:
 
 
 #: A round adds at most STEP to a length's coverage; its weight falls by exp(-RATE * coverage); configurations within
-#: NEAR of the dearest are taken.  Rounds end when multiplicities are within GAP of the lower bound.
-STEP, RATE, NEAR, GAP = 0.2, 4.0, 0.03, 0.2
+#: NEAR of the dearest are taken.  Rounds end when multiplicities are within GAP of the lower bound.  After PHASE rounds
+#: without that the rate is halved for twice as many, and so on, as slower weights come nearer; if PHASE rounds have
+#: not gained 1 %, what is covered by then is rounded.
+STEP, RATE, NEAR, GAP, PHASE = 0.2, 4.0, 0.03, 0.2, 200
 
 
 def solve_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[tuple[dict[int, int], float]], np.ndarray, float]:
     """Configurations with fractional multiplicities that cover every length; prices at which no configuration is worth more than 1; a lower bound.
 
-    The first prices are the lengths, which solve the dual program if nothing is wasted.
+    The first prices are the lengths, which solve the dual program if nothing need be wasted.  Where other prices bound
+    better, a gap of a 20th is asked for, as rounding then goes by prices that are only as good as the gap.
     """
     sack = Knapsack(lengths, counts, capacity)
     often = counts.tolist()
     covered = np.zeros(len(lengths))
     found: dict[tuple, float] = {}
-    bound, total, dual = 0.0, 0.0, None
+    bound, total, dual, flat = 0.0, 0.0, None, 0.0
+    rate, phase, rounds, added = RATE, PHASE, 0, []
+    mean = np.zeros(len(lengths))
+    reached, since = np.inf, 0
+
+    def take(config: dict[int, int], x: float) -> None:
+        nonlocal total
+        for k, n in config.items():
+            added[k] += x * n / often[k]
+        key = tuple(sorted(config.items()))
+        found[key] = found.get(key, 0.0) + x
+        total += x
+
     while True:
-        price = lengths * np.exp(-RATE * (covered - covered.min()))
+        rounds += 1
+        if rounds > phase:
+            rate, phase = rate / 2, 3 * phase
+        price = lengths * np.exp(-rate * (covered - covered.min()))
         best, taken = sack.solve(price)
         top = best[capacity]
         below = float((price * counts).sum() / top)
         if below > bound:
             bound, dual = below, price / top
-        # each length's dearest configuration, the scarcest lengths first; the scarcest one's always counts
-        near = price + best[capacity - lengths] >= (1 - NEAR) * top
-        near[covered.argmin()] = True
-        own = np.flatnonzero(near)
+        flat = flat or bound
+        # each length's configuration that is near the dearest, the scarcest lengths first
+        own = np.flatnonzero(price + best[capacity - lengths] >= (1 - NEAR) * top)
         own = own[np.argsort(covered[own], kind="stable")]
         added = [0.0] * len(often)
+        value = price.tolist()
         for j, config in zip(own.tolist(), sack.contents(taken, capacity - lengths[own])):
+            config[j] = min(config.get(j, 0) + 1, often[j])
             if added[j] >= STEP:
                 continue
-            config[j] = min(config.get(j, 0) + 1, often[j])
             x = min((STEP - added[k]) * often[k] / n for k, n in config.items())
-            if x <= 1e-3 * STEP * often[j] / config[j]:
-                continue
-            for k, n in config.items():
-                added[k] += x * n / often[k]
-            key = tuple(sorted(config.items()))
-            found[key] = found.get(key, 0.0) + x
-            total += x
+            if x > 1e-3 * STEP * often[j] / config[j]:
+                take(config, x)
+            # the scarcest of them gets its whole step, if need be without lengths that have had theirs
+            while j == own[0] and added[j] < STEP * 0.999:
+                config = {k: n for k, n in config.items() if added[k] < STEP * 0.999}
+                if sum(value[k] * n for k, n in config.items()) < (1 - NEAR) * top:
+                    break
+                take(config, min((STEP - added[k]) * often[k] / n for k, n in config.items()))
         covered += added
         least = float(covered.min())
-        if least > 0 and total <= (1 + gap) * least * bound:
+        mean += price / (price * counts).sum()
+        if not rounds % 20:  # the mean of all prices is nearer to the dual solution than any round's
+            top = sack.solve(mean)[0][capacity]
+            if (below := float((mean * counts).sum() / top)) > bound:
+                bound, dual = below, mean / top
+        if least > 0 and total < 0.99 * reached * least:
+            reached, since = total / least, rounds
+        if least > 0 and (total <= (1 + (gap if bound == flat else gap / 20)) * least * bound or rounds - since > PHASE):
             return [(dict(c), x / least) for c, x in found.items()], dual, bound
 
 
-def round_down(parts: list[tuple[dict[int, int], float]], worth: np.ndarray, left: np.ndarray) -> list[tuple[dict[int, int], int]]:
-    """Whole multiplicities of the configurations worth a full sequence, as far as pieces last; `left` is reduced.
+def round_down(parts: list[tuple[dict[int, int], float]], worth: np.ndarray, left: np.ndarray, slack: float = 1e-9) -> list[tuple[dict[int, int], int]]:
+    """Whole multiplicities of the configurations worth a full sequence but for slack, as far as pieces last; `left` is reduced.
 
     Configurations of few pieces come first: what is left is then small and easier to place.
     """
-    full = [(c, x) for c, x in parts if sum(worth[j] * n for j, n in c.items()) >= 1 - 1e-9]
-    full.sort(key=lambda p: (sum(p[0].values()), -p[1]))
+    full = [(c, x) for c, x in parts if sum(worth[j] * n for j, n in c.items()) >= 1 - slack]
+    full.sort(key=lambda p: (sum(p[0].values()), -p[1]) if slack < 1e-6 else -sum(worth[j] * n for j, n in p[0].items()))
     out = []
     for whole in (True, False):
         for config, x in full:
@@ -196,8 +222,10 @@ def plan(histogram: dict[int, int], capacity: int, gap: float = GAP) -> tuple[li
         on = np.flatnonzero(left)
         size, here = lengths[on], left[on]
         before = int(here.sum())
-        parts, worth, _ = solve_lp(size, here.copy(), capacity, gap)
-        for config, times in round_down(parts, worth, here):
+        parts, worth, bound = solve_lp(size, here.copy(), capacity, gap)
+        flat = int((size * here).sum()) / capacity
+        slack = 1e-9 if bound <= flat * (1 + 1e-9) else 2 * (sum(x for _, x in parts) / bound - 1)
+        for config, times in round_down(parts, worth, here, slack):
             out.append((tuple(sorted(((int(size[j]), n) for j, n in config.items()), reverse=True)), times))
         left[on] = here
         if before - int(here.sum()) < before / 10:
