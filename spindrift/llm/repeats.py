@@ -3,14 +3,15 @@
 Prefix-free parsing: triggers are rolling-hash minima.  Of every string of `width` bytes the leftmost smallest
 gram (a run of width / 2 bytes) is its anchor, so equal strings have equal anchors at equal places, and
 consecutive starts with one anchor make a phrase: an anchor's extent is all the bytes of these strings.
-The extents are the dictionary; a document's parse is its sequence of extents, about one for each width / 4 bytes.
-
-Anchors are put in order of (gram, extent), so that equal strings can only be within one gram.  An extent that
-occurs twice has all its strings repeated.  A gram that occurs once has none.  Only entries that share
-a gram but differ get their bytes compared: the entries of a gram are dealt together and their suffixes of
-`width` bytes put in order, where equal ones meet.  The order of suffixes is needed to `width` bytes
-only, and no such string leaves its extent, so the parse needs no suffix array of its own; order is by 64-bit
-keys rather than by letters, as only equality counts.
+The extents are the dictionary; a document's parse is its sequence of extents.
+
+The parse is put in order of (gram, extent), so that equal strings can only be within one gram.  An extent that
+occurs twice has all its strings repeated.  A gram that occurs once has none.  What is left are entries that share a
+gram but differ.  The entries of a gram are dealt together and their suffix array is built by prefix doubling over the
+bytes: suffixes are ranked by their first 8 bytes, then 16, 32 and so on to `width`, so equal ranks mean equal
+bytes, and neighbours in this order that have one rank are repeated strings.  No string of `width` bytes leaves its
+extent and order beyond `width` bytes changes nothing, so entries take the place of the parse's own suffix array: what follows
+an extent never decides.  Extents are told apart by 128 bits besides the gram's 64.
 """
 
 from __future__ import annotations
@@ -24,15 +25,21 @@ from pyspark.sql import functions as F
 
 from spindrift.llm._shared import _BASE, _INVERSE, _LUT, Scratch, _powers, blobs, bounded, groups, mix64, need
 
+#: Byte values, base and its inverse of two independent rolling hashes.
+_FIRST = (_LUT, _BASE, _INVERSE)
+_OTHER_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
+_SECOND = (mix64(_LUT ^ np.uint64(0x165667B19E3779F9)), _OTHER_BASE, np.uint64(pow(int(_OTHER_BASE), -1, 1 << 64)))
+
 
 class Rolling:
     """64-bit hashes of any spans of a byte buffer, from prefix sums."""
 
-    def __init__(self, raw: np.ndarray):
+    def __init__(self, raw: np.ndarray, kind: tuple = _FIRST):
+        letter, base, inverse = kind
         self.n = len(raw)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_LUT[raw] * _powers(_BASE, self.n), dtype=np.uint64, out=self.sums[1:])
-        self.inverse = _powers(_INVERSE, self.n + 1)
+        np.cumsum(letter[raw] * _powers(base, self.n), dtype=np.uint64, out=self.sums[1:])
+        self.inverse = _powers(inverse, self.n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.inverse[start])
@@ -54,11 +61,11 @@ def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def parse(raw: np.ndarray, at: np.ndarray, width: int, half: int):
-    """Anchors of all texts: (text, anchor, first and last window start, key of the anchor's gram, key of the extent)."""
+    """Anchors of all texts: (text, anchor, first and last window start, key of the anchor's gram, two keys of the extent)."""
     n = len(raw)
     if n < width:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z.astype(np.uint64), z.astype(np.uint64)
+        return z, z, z, z, *[z.astype(np.uint64)] * 3
     roll = Rolling(raw)
     gram = width - half
     anchor = sliding_argmin(roll.all(gram), half + 1)  # for each start 0 .. n - width
@@ -76,12 +83,24 @@ def parse(raw: np.ndarray, at: np.ndarray, width: int, half: int):
     lo, hi, t = s[first], s[last], a[first]
     text = np.searchsorted(at, lo, side="right") - 1
     g = roll.of(t, t + gram)
-    e = mix64(roll.of(lo, hi + width) ^ mix64(((t - lo) << 32 | (hi - lo)).astype(np.uint64)))
-    return text, t, lo, hi, g, e
+    shape = mix64(((t - lo) << 32 | (hi - lo)).astype(np.uint64))
+    e, e2 = (mix64(r.of(lo, hi + width) ^ shape) for r in (roll, Rolling(raw, _SECOND)))
+    return text, t, lo, hi, g, e, e2
+
+
+def _classes(e: np.ndarray, e2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First index of each class of equal (e, e2), each element's class, and the classes' sizes."""
+    order = np.lexsort((e2, e))
+    new = np.ones(len(e), bool)
+    new[1:] = (e[order][1:] != e[order][:-1]) | (e2[order][1:] != e2[order][:-1])
+    of = np.empty(len(e), np.int64)
+    of[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return order[first], of, np.diff(np.append(first, len(e)))
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of anchors sorted by (g, e): those whose gram occurs twice or more.
+    """Of anchors sorted by (g, e, e2): those whose gram occurs twice or more, as kind, g, row, row2, lo, span.
 
     kind 0: the extent occurs twice or more; kind 1: it doesn't; kind 2: once for each repeated extent.
     Rows whose `many` is 1 stand for several of a batch, whose own runs come with 2 and pass through as kind 0.
@@ -98,7 +117,8 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.flatnonzero((keep & (many == 0)) | (many == 2))
         take = np.concatenate([rows, first])
         kinds = np.concatenate([kind[rows], np.full(len(first), 2)])
-        return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int8)), *[pa.array(c[take]) for c in cols[:-1]]], ["kind", *schema[:-1]])
+        keep_ = [0, 3, 4, 5, 6]
+        return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int8)), *[pa.array(cols[i][take]) for i in keep_]], ["kind", *[schema[i] for i in keep_]])
 
     for b in batches:
         if not b.num_rows:
@@ -107,8 +127,9 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
         if pending is not None:
             cols = [np.concatenate([p, c]) for p, c in zip(pending, cols)]
-        g, e = cols[0], cols[1]
-        sg, se = g[1:] == g[:-1], (g[1:] == g[:-1]) & (e[1:] == e[:-1])
+        g, e, e2 = cols[:3]
+        sg = g[1:] == g[:-1]
+        se = sg & (e[1:] == e[:-1]) & (e2[1:] == e2[:-1])
         pg, pe = np.concatenate([[was[0]], sg]), np.concatenate([[was[1]], se])
         pending, was = [c[-1:] for c in cols], (bool(pg[-1]), bool(pe[-1]))
         if len(g) > 1:
@@ -126,19 +147,40 @@ def _runs(s: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], cut]), np.append(cut, len(s)) - 1
 
 
-def _window_hashes(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, owner and offset of every window of every extent."""
+def _windows(at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, owner and offset of every window of every extent."""
     count = np.diff(at) - width + 1
     owner = np.repeat(np.arange(len(count)), count)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    start = at[owner] + offset
-    return Rolling(data).of(start, start + width), owner, offset
+    return at[owner] + offset, owner, offset
+
+
+def suffix_ranks(data: np.ndarray, width: int) -> np.ndarray:
+    """Rank of every suffix of the buffer, cut to `width` bytes, in the order of bytes: equal ranks mean equal bytes.
+
+    Prefix doubling: ranks for k bytes, of a suffix and of the one k further on, give those for 2 k.  Suffixes of less than
+    `width` bytes have no rank; there is one for each of the len(data) - width + 1 others.
+    """
+    n = len(data) - width + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    have = min(8, width)
+    key = np.zeros(len(data) - have + 1, np.uint64)
+    for k in range(have):
+        key = key << np.uint64(8) | data[k : k + len(key)]
+    ranks = np.unique(key, return_inverse=True)[1]
+    while have < width:
+        step = min(have, width - have)
+        both = ranks[: len(ranks) - step].astype(np.int64) * (int(ranks.max()) + 1) + ranks[step:]
+        ranks = np.unique(both, return_inverse=True)[1]
+        have += step
+    return ranks
 
 
 def repeated_bytes(docs: DataFrame, width: int = 200, hot: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, raw, los, his for every row: the first and last starts of runs of repeated windows, in no order.
 
-    `hot`: from how many different extents of one gram on windows are counted by a shuffle on their hash
+    `hot`: from how many different extents of one gram on windows are counted by a shuffle on 128 bits of hash
     rather than in one task; the result is the same.
     """
     if width < 2:
@@ -146,14 +188,15 @@ def repeated_bytes(docs: DataFrame, width: int = 200, hot: int = 20_000, id_col:
     half = width // 2
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = need(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("raw"))
-    rows = rows.withColumn("row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null")), "raw"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null"))
+    rows = rows.withColumns({"row": F.xxhash64(name, "raw"), "row2": F.xxhash64(F.lit(1), name, "raw")})  # 128 bits
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "raw", 2 << 20):
             raw, at = blobs(b.column(1))
-            text, t, lo, hi, g, e = parse(raw, at, width, half)
+            text, t, lo, hi, g, e, e2 = parse(raw, at, width, half)
             # extents found twice here need no partner elsewhere: one stands for all, and their runs go as they are
-            _, one, of, n = np.unique(e, return_index=True, return_inverse=True, return_counts=True)
+            one, of, n = _classes(e, e2)
             again = n[of] > 1
             single = np.flatnonzero(~again)
             stands = one[n > 1]
@@ -163,35 +206,39 @@ def repeated_bytes(docs: DataFrame, width: int = 200, hot: int = 20_000, id_col:
             owner = text[local[joined]]
             spread = mix64(b.column(0).to_numpy()[owner].view(np.uint64) + start.astype(np.uint64))
             take = np.concatenate([single, stands])
+            of_row = np.concatenate([text[take], owner])
             yield pa.RecordBatch.from_pydict({
                 "g": np.concatenate([g[take], spread]).view(np.int64),
                 "e": np.concatenate([e[take], spread]).view(np.int64),
-                "row": b.column(0).to_numpy()[np.concatenate([text[take], owner])],
+                "e2": np.concatenate([e2[take], spread]).view(np.int64),
+                "row": b.column(0).to_numpy()[of_row],
+                "row2": b.column(2).to_numpy()[of_row],
                 "lo": np.concatenate([lo[take] - at[text[take]], start - at[owner]]),
                 "span": np.concatenate([hi[take] - lo[take], stop - start]).astype(np.int32),
                 "many": np.repeat(np.array([0, 1, 2], np.int8), [len(single), len(stands), len(start)]),
             })
 
-    dealt = rows.select("row", "raw").mapInArrow(anchors, "g bigint, e bigint, row bigint, lo bigint, span int, many tinyint").repartition("g").sortWithinPartitions("g", "e")
-    found = scratch.write(dealt.mapInArrow(_classify, "kind tinyint, g bigint, e bigint, row bigint, lo bigint, span int"), "anchors")
+    dealt = rows.select("row", "raw", "row2").mapInArrow(anchors, "g bigint, e bigint, e2 bigint, row bigint, row2 bigint, lo bigint, span int, many tinyint").repartition("g").sortWithinPartitions("g", "e", "e2")
+    found = scratch.write(dealt.mapInArrow(_classify, "kind tinyint, g bigint, row bigint, row2 bigint, lo bigint, span int"), "anchors")
     unsure = found.filter("kind = 1")
     partners = found.filter("kind = 2").join(unsure.select("g").distinct(), "g", "left_semi")
     dictionary = unsure.unionByName(partners.select(*found.columns))
-    wanted = dictionary.groupBy("row").agg(F.collect_list(F.struct("kind", "g", "lo", "span")).alias("parts"))  # of one document
-    texts = rows.join(wanted, "row").select("row", "raw", "parts.kind", "parts.g", "parts.lo", "parts.span")
+    wanted = dictionary.groupBy("row", "row2").agg(F.collect_list(F.struct("kind", "g", "lo", "span")).alias("parts"))  # of one document
+    texts = rows.join(wanted, ["row", "row2"]).select("row", "raw", "row2", "parts.kind", "parts.g", "parts.lo", "parts.span")
 
     def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "raw", 2 << 20):
-            out = {k: [] for k in ("g", "kind", "row", "lo", "extent")}
-            for row, raw, kinds, gs, los, spans in zip(*(c.to_pylist() for c in b.columns)):
+            out = {k: [] for k in ("g", "kind", "row", "row2", "lo", "extent")}
+            for row, raw, row2, kinds, gs, los, spans in zip(*(c.to_pylist() for c in b.columns)):
                 out["g"] += gs
                 out["kind"] += kinds
                 out["lo"] += los
                 out["row"] += [row] * len(gs)
+                out["row2"] += [row2] * len(gs)
                 out["extent"] += [raw[lo : lo + span + width] for lo, span in zip(los, spans)]
-            yield pa.RecordBatch.from_arrays([pa.array(out["g"], pa.int64()), pa.array(out["kind"], pa.int8()), pa.array(out["row"], pa.int64()), pa.array(out["lo"], pa.int64()), pa.array(out["extent"], pa.binary())], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["g"], pa.int64()), pa.array(out["kind"], pa.int8()), pa.array(out["row"], pa.int64()), pa.array(out["row2"], pa.int64()), pa.array(out["lo"], pa.int64()), pa.array(out["extent"], pa.binary())], list(out))
 
-    entries = scratch.write(texts.mapInArrow(extents, "g bigint, kind tinyint, row bigint, lo bigint, extent binary"), "dictionary")
+    entries = scratch.write(texts.mapInArrow(extents, "g bigint, kind tinyint, row bigint, row2 bigint, lo bigint, extent binary"), "dictionary")
     many = entries.groupBy("g").count().filter(F.col("count") > hot).select("g")
     common = entries.join(many, "g", "left_anti").repartition("g").sortWithinPartitions("g")
 
@@ -201,19 +248,15 @@ def repeated_bytes(docs: DataFrame, width: int = 200, hot: int = 20_000, id_col:
 
         def settle() -> pa.RecordBatch:
             t = pa.concat_tables(held).combine_chunks()
-            g, kind, row, lo = (t.column(k).to_numpy() for k in ("g", "kind", "row", "lo"))
+            kind, row, row2, lo = (t.column(k).to_numpy() for k in ("kind", "row", "row2", "lo"))
             data, at = blobs(t.column("extent"))
-            w, owner, offset = _window_hashes(data, at, width)
-            order = np.lexsort((w, g[owner]))
-            w_, g_ = w[order], g[owner[order]]
-            same = (w_[1:] == w_[:-1]) & (g_[1:] == g_[:-1])
-            twice = np.zeros(len(w), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
+            start, owner, offset = _windows(at, width)
+            rank = suffix_ranks(data, width)[start]  # equal strings have equal anchors, so they are of one gram
+            twice = np.bincount(rank)[rank] > 1
             i = np.flatnonzero(twice & (kind[owner] == 1))
             a, z = _runs(offset[i], owner[i])
             own = owner[i[a]]
-            return pa.RecordBatch.from_pydict({"row": row[own], "lo": lo[own] + offset[i[a]], "hi": lo[own] + offset[i[z]]})
+            return pa.RecordBatch.from_pydict({"row": row[own], "row2": row2[own], "lo": lo[own] + offset[i[a]], "hi": lo[own] + offset[i[z]]})
 
         for t in groups(batches, "g"):  # a group is at most `hot` entries; small ones are settled together
             held.append(t)
@@ -226,17 +269,18 @@ def repeated_bytes(docs: DataFrame, width: int = 200, hot: int = 20_000, id_col:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "extent", 1 << 20):
-            data, at = blobs(b.column(4))
-            w, owner, offset = _window_hashes(data, at, width)
-            yield pa.RecordBatch.from_pydict({"w": w.view(np.int64), "kind": b.column(1).to_numpy()[owner], "row": b.column(2).to_numpy()[owner], "lo": b.column(3).to_numpy()[owner] + offset})
-
-    each = entries.join(many, "g", "left_semi").select(*entries.columns).mapInArrow(windows, "w bigint, kind tinyint, row bigint, lo bigint")
-    twice = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w")
-    split = each.filter("kind = 1").join(twice, "w", "left_semi").select("row", "lo", F.col("lo").alias("hi"))
-    edges = scratch.write(common.mapInArrow(local, "row bigint, lo bigint, hi bigint").unionByName(split), "edges")
-    spans = found.filter("kind = 0").select("row", "lo", (F.col("lo") + F.col("span")).alias("hi")).unionByName(edges)
-    flags = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).select("row", "spans.lo", "spans.hi")  # of one document
-    return rows.join(flags, "row", "left").select("doc_id", "raw", F.col("lo").alias("los"), F.col("hi").alias("his"))
+            data, at = blobs(b.column(5))
+            start, owner, offset = _windows(at, width)
+            w, w2 = (Rolling(data, k).of(start, start + width).view(np.int64) for k in (_FIRST, _SECOND))
+            yield pa.RecordBatch.from_pydict({"w": w, "w2": w2, "kind": b.column(1).to_numpy()[owner], "row": b.column(2).to_numpy()[owner], "row2": b.column(3).to_numpy()[owner], "lo": b.column(4).to_numpy()[owner] + offset})
+
+    each = entries.join(many, "g", "left_semi").select(*entries.columns).mapInArrow(windows, "w bigint, w2 bigint, kind tinyint, row bigint, row2 bigint, lo bigint")
+    twice = each.groupBy("w", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w", "w2")
+    split = each.filter("kind = 1").join(twice, ["w", "w2"], "left_semi").select("row", "row2", "lo", F.col("lo").alias("hi"))
+    edges = scratch.write(common.mapInArrow(local, "row bigint, row2 bigint, lo bigint, hi bigint").unionByName(split), "edges")
+    spans = found.filter("kind = 0").select("row", "row2", "lo", (F.col("lo") + F.col("span")).alias("hi")).unionByName(edges)
+    flags = spans.groupBy("row", "row2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).select("row", "row2", "spans.lo", "spans.hi")  # of one document
+    return rows.join(flags, ["row", "row2"], "left").select("doc_id", "raw", F.col("lo").alias("los"), F.col("hi").alias("his"))
 
 
 def remove_repeats(docs: DataFrame, width: int = 200, hot: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
