@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import shutil
 import tempfile
-import time
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+#: Spark's setting that removes a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Written tables in the shared folder.  They cut lineage, survive lost executors and are removed by name."""
 
@@ -48,25 +48,20 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{name}"
 
-    def write(self, df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
-        """The table as written and read again, of the same schema."""
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """The table as written and read again, of the same schema.  Shuffle files of the write go as it ends."""
         place = self.path(name)
-        df.write.option("compression", "zstd").parquet(place)
+        conf = self.spark.conf
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(place)
+        finally:
+            conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
         out = self.spark.read.schema(df.schema).parquet(place)
         out._scratch_place = place
-        if tidy:
-            self.tidy()
         return out
 
-    def tidy(self) -> None:
-        """Let Spark remove shuffle files that no plan of ours needs any more."""
-        if self.spark.sparkContext.master.startswith("local["):
-            return
-        for _ in range(2):  # the first round frees what listeners and finalizers still held
-            time.sleep(0.2)
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
@@ -137,10 +132,6 @@ def bounded(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
             first = last
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of equal key from batches sorted by key (not null); only one group is held at a time."""
     held: list[pa.RecordBatch] = []
@@ -219,11 +210,3 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.
     end = np.flatnonzero(last) + 1
     return span_hashes(raw, start, end), start, np.searchsorted(at, start, side="right") - 1
 
-
-def free_local(path: str) -> None:
-    """Remove a scratch folder of ours in tests."""
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
-
-
-def local_only(path: str) -> str:
-    return os.path.normpath(path.removeprefix("file://"))

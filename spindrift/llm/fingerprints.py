@@ -107,24 +107,37 @@ def lexicon_of(scratch: Scratch, rows: DataFrame, min_docs: int, min_idf: float)
     return out
 
 
-def with_next(rows: DataFrame, each: int = 20_000) -> DataFrame:
-    """rows (key bigint, h, text, ...) with uid, next_key, next_h, next_text: the row that follows by key, then h; after the last the first.
+def following(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """doc_id, key, h, n_chars, again, copies, next_key, next_h: which row follows which, by key, then h; after the last the first.
 
-    Rows are dealt by ranges of the key of about `each` rows; a range's first rows also go, as guests, to the range before.
+    rows: doc_id, key, h, n_chars.  Equal rows are one here: all but the last of them are followed by their like (again).
+    Only keys are sorted and moved.  The order is dealt by ranges; a range's last row is followed by the first of the next
+    range that has one, and of these there is one a range.
     """
-    n = rows.count()
-    parts = max(1, -(-n // each))
-    cuts = rows.agg(F.percentile_approx("key", F.array(*[F.lit(i / parts) for i in range(1, parts)] or [F.lit(0.5)]), 100 * parts).alias("q"), F.min("key").alias("m")).first()
-    bounds = sorted({cuts["m"], *(cuts["q"] if parts > 1 else [])}) if n else [0]
-    array = F.array(*[F.lit(int(b)).cast("bigint") for b in bounds])
-    own = (F.size(F.filter(array, lambda b: b <= F.col("key"))) - 1).cast("int")
-    m = len(bounds)
-    dealt = rows.withColumn("own", own)
-    dealt = dealt.withColumn("guest", F.explode(F.when(F.get(array, F.col("own")) == F.col("key"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    dealt = dealt.withColumn("range", F.when(F.col("guest"), F.pmod(F.col("own") - 1, F.lit(m))).otherwise(F.col("own")))
-    order = Window.partitionBy("range").orderBy("guest", "key", "h")
-    out = dealt.withColumns({"next_key": F.lead("key").over(order), "next_h": F.lead("h").over(order), "next_text": F.lead("text").over(order), "uid": F.shiftleft(F.col("range").cast("bigint"), 40) + F.row_number().over(order)})
-    return out.filter("not guest").drop("own", "guest", "range")
+    single = rows.groupBy("doc_id", "key", "h").agg(F.first("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("n"))
+    ranges = single.repartitionByRange("key", "h").withColumn("part", F.spark_partition_id())
+    ordered = scratch.write(ranges, "order")
+    starts = ordered.groupBy("part").agg(F.min(F.struct("key", "h")).alias("start"))
+    after = Window.orderBy("part")  # as many rows as ranges
+    first = F.first("start").over(after.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = starts.select("part", F.coalesce(F.lead("start").over(after), first).alias("then"))
+    within = Window.partitionBy("part").orderBy("key", "h")
+    led = ordered.withColumn("lead", F.lead(F.struct("key", "h")).over(within)).join(ends, "part").withColumn("then", F.coalesce("lead", "then"))
+    last = led.select("doc_id", "key", "h", "n_chars", F.lit(False).alias("again"), F.lit(1).cast("bigint").alias("copies"), F.col("then.key").alias("next_key"), F.col("then.h").alias("next_h"))
+    like = ordered.filter("n > 1").select("doc_id", "key", "h", "n_chars", F.lit(True).alias("again"), (F.col("n") - 1).alias("copies"), F.col("key").alias("next_key"), F.col("h").alias("next_h"))
+    return scratch.write(last.unionByName(like), "following")
+
+
+def with_next(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """What `following` has, with text and next_text: as many first code points of the next row's text as the edit takes.
+
+    Texts are moved once, to their key, and beginnings of them once more, to the row before.
+    """
+    pairs = following(scratch, rows.select("doc_id", "key", "h", F.length("text").cast("bigint").alias("n_chars")))
+    texts = rows.select("key", "h", "text").groupBy("key", "h").agg(F.first("text").alias("text"))
+    asked = pairs.select(F.col("next_key").alias("key"), F.col("next_h").alias("h"), F.struct("key", "h", "again").alias("to"), _swap().alias("swap"))
+    begun = asked.join(texts, ["key", "h"]).select("to.*", F.substring(F.col("text"), F.lit(1), F.col("swap")).alias("next_text"))
+    return pairs.join(texts, ["key", "h"]).join(begun, ["key", "h", "again"])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -169,12 +182,16 @@ def _poor(scratch: Scratch, rows: DataFrame, stored: DataFrame, lexicon: DataFra
     return held.select("uid", more_a.alias("more_a"), F.concat(_hashes("theirs_band", DENSE), wide("theirs")).alias("more_b"))
 
 
+def _swap() -> Column:
+    return F.floor(F.col("n_chars") / 4).cast("int")
+
+
 def _edited() -> Column:
-    swap = F.floor(F.col("n_chars") / 4).cast("int")
+    swap = _swap()
     return F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - swap), F.substring(F.col("next_text"), F.lit(1), swap))
 
 
-def fingerprints(docs: DataFrame, min_docs: int = 2, min_idf: float = 3.0, id_col: str = "doc_id", text_col: str = "text", each: int = 20_000) -> DataFrame:
+def fingerprints(docs: DataFrame, min_docs: int = 2, min_idf: float = 3.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     A term is in the lexicon if at least min_docs rows have it, and in the band if also log(distinct texts /
@@ -190,9 +207,9 @@ def fingerprints(docs: DataFrame, min_docs: int = 2, min_idf: float = 3.0, id_co
     rows = need(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.withColumns({"key": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "h": F.xxhash64("text")})
     lexicon = lexicon_of(scratch, rows, min_docs, min_idf)
-    pairs = with_next(rows, each).withColumn("n_chars", F.length("text").cast("bigint"))
+    pairs = with_next(scratch, rows)
     sampled = lambda c: F.filter(terms(c), _in_some)
-    made = pairs.withColumn("edited", _edited()).select("uid", "doc_id", "key", "h", "next_key", "next_h", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_h"), sampled(F.col("text")).alias("own"), sampled(F.col("edited")).alias("other"))
+    made = pairs.withColumn("edited", _edited()).select(F.monotonically_increasing_id().alias("uid"), "copies", "doc_id", "key", "h", "next_key", "next_h", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_h"), sampled(F.col("text")).alias("own"), sampled(F.col("edited")).alias("other"))
     table = scratch.write(made, "terms")
     used = table.select("uid", F.explode(_sides("own", "other")).alias("t")).select("uid", "t.term", "t.side").join(lexicon.filter("band"), "term", "left_semi")
     held = used.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("term", "side"))).alias("found"))  # terms of one text
@@ -206,6 +223,8 @@ def fingerprints(docs: DataFrame, min_docs: int = 2, min_idf: float = 3.0, id_co
     whole = lambda c, h: F.when(F.exists(c, lambda x: x != EMPTY), F.col(c)).otherwise(F.array(F.concat(F.lit("x"), F.lower(F.hex(h)))))
     stored = stored.join(more, "uid", "left").withColumns({"a": added("a", "more_a"), "b": added("b", "more_b")}).drop("more_a", "more_b")
     stored = scratch.write(stored.withColumns({"a": whole("a", "h"), "b": whole("b", "edited_h")}), "whole")
-    following = stored.groupBy(F.col("key").alias("next_key"), F.col("h").alias("next_h")).agg(F.first("a").alias("c"))
-    out = stored.join(following, ["next_key", "next_h"])
-    return out.select("doc_id", "n_chars", "edited_sha256", F.array_join("a", "").alias("fingerprint"), F.array_join("b", "").alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    next_prints = stored.groupBy(F.col("key").alias("next_key"), F.col("h").alias("next_h")).agg(F.first("a").alias("c"))
+    out = stored.join(next_prints, ["next_key", "next_h"])
+    out = out.select("copies", "doc_id", "n_chars", "edited_sha256", F.array_join("a", "").alias("fingerprint"), F.array_join("b", "").alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    # equal rows, all but the last of them followed by their like, are one until here
+    return out.select(F.explode(F.array_repeat(F.struct(*[c for c in out.columns if c != "copies"]), F.col("copies").cast("int"))).alias("r")).select("r.*")

@@ -288,7 +288,7 @@ def test_line_dedup_stays_native(docs):
 
 
 def test_fingerprints(docs, empty):
-    rows = {r.doc_id: r for r in fingerprints.fingerprints(docs, 1, 0.0, each=5).collect()}
+    rows = {r.doc_id: r for r in fingerprints.fingerprints(docs, 1, 0.0).collect()}
     n = len(TEXTS)
     for i in range(n):
         k = len(text(i)) // 4
@@ -304,6 +304,95 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprints(docs.filter("doc_id = 8")).collect()[0].near_next == 1.0
 
 
+def xx(data, seed=42):
+    import xxhash
+
+    n = xxhash.xxh64_intdigest(data, seed % 2**64)
+    return n - 2**64 if n >= 2**63 else n
+
+
+def plain_terms(t):
+    return {xx(w.encode()) for w in re.split("[ \\t-\\r]+", t.lower()) if w}
+
+
+def plain_hash(found, member):
+    part = sorted(t for t in found if member(t % 2**64))
+    seed = 42
+    for t in part:
+        seed = xx((t % 2**64).to_bytes(8, "little"), seed)
+    return f"{seed & 0xFFFFFFFF:08x}" if part else "-" * 8
+
+
+def plain_subsets():
+    """Sparse levels of 1/32 to 1/2048, eight subsets each; dense ones of two times four quarters and eight eighths."""
+    bits = lambda t, r: ((t >> 8 * r) if r < 7 else (t >> 56 | t << 8)) & 0xFFFF
+    sparse = [lambda t, level=level, r=r: bits(t, r) % 2**level == 0 for level in (5, 7, 9, 11) for r in range(8)]
+    dense = [lambda t, at=at, r=r: (t >> at) % 4 == r for at in (20, 50) for r in range(4)] + [lambda t, r=r: (t >> 34) % 8 == r for r in range(8)]
+    return sparse, dense
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    best = 0.0
+    for i in range(12):
+        x, y = a[8 * i : 8 * i + 8], b[8 * i : 8 * i + 8]
+        if min(len(a), len(b)) >= 8 * i + 8:
+            said = sum(p != "-" * 8 or q != "-" * 8 for p, q in zip(x, y))
+            same = sum(p == q != "-" * 8 for p, q in zip(x, y))
+            best = max(best, same / max(said, 1 if i % 6 >= 4 else 4))
+    return best
+
+
+def plain_prints(texts, min_docs, min_idf):
+    """fingerprint, edited fingerprint, near_edited, near_next of each text, restated one text at a time."""
+    sparse, dense = plain_subsets()
+    known, weight = Counter(), Counter()
+    for t in texts:
+        known.update(plain_terms(t))
+    for t in set(texts):
+        weight.update(plain_terms(t))
+    most = max(int(len(set(texts)) * np.exp(-min_idf)), min_docs)
+    lexicon = {t for t, n in known.items() if n >= min_docs}
+    band = {t for t in lexicon if weight[t] <= most}
+    sampled = lambda found: {t for t in found & band if any(m(t % 2**64) for m in sparse[:8])}
+    out = []
+    for i, t in enumerate(texts):
+        k = len(t) // 4
+        edited = t[: len(t) - k] + texts[(i + 1) % len(texts)][:k]
+        own, other = plain_terms(t), plain_terms(edited)
+        a, b = ([plain_hash(sampled(x), m) for m in sparse] for x in (own, other))
+        few = len(sampled(own)) < 8
+        if (few or len(sampled(other)) < 8) and (own | other) & lexicon:
+            outside = few and 8 * len(own & band) < len(own & lexicon)
+            b += [plain_hash(other & band, m) for m in dense] + [plain_hash(other & lexicon, m) for m in (sparse + dense) * outside]
+            if few:
+                a += [plain_hash(own & band, m) for m in dense] + [plain_hash(own & lexicon, m) for m in (sparse + dense) * outside]
+        a, b = (p if any(x != "-" * 8 for x in p) else [f"x{xx(x.encode()) % 2**64:x}"] for p, x in ((a, t), (b, edited)))
+        out.append((a, b))
+    return [("".join(a), "".join(b), plain_likeness(a, b), plain_likeness(a, out[(i + 1) % len(out)][0])) for i, (a, b) in enumerate(out)]
+
+
+@pytest.mark.parametrize("min_docs,min_idf", [(1, 0.0), (2, 1.0), (2, 3.0)])
+def test_fingerprints_as_restated(spark, min_docs, min_idf):
+    rng = np.random.default_rng(9)
+    texts = [t or "" for t in TEXTS] + [" ".join(f"v{int(k)}" for k in rng.integers(0, 400, n)) for n in rng.integers(1, 300, 60)]
+    texts += [texts[30] + " one more", texts[30]] + ["common words only"] * 9 + [f"common words only {k}" for k in range(9)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = sorted(fingerprints.fingerprints(table, min_docs, min_idf).collect(), key=lambda r: r.doc_id)
+    for r, want in zip(got, plain_prints(texts, min_docs, min_idf), strict=True):
+        assert (r.fingerprint, r.edited_fingerprint) == want[:2], r.doc_id
+        assert (r.near_edited, r.near_next) == pytest.approx(want[2:]), r.doc_id
+
+
+def test_fingerprints_of_equal_rows(spark):
+    """All but the last of equal rows are followed by their like."""
+    table = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "e f g h"), (None, "n")], "doc_id long, text string")
+    want = Counter(hashlib.sha256(t.encode()).hexdigest() for t in ("a b c a", "a b c a", "a b c e", "e f g n", "n"))
+    rows = fingerprints.fingerprints(table, 1, 0.0).collect()
+    assert len(rows) == 5 and Counter(r.edited_sha256 for r in rows) == want
+
+
 def test_fingerprints_of_a_large_group_of_near_copies(spark):
     common = [f"common{k}" for k in range(80)]
     group = [" ".join(common[:k] + [f"changed{k}"] + common[k + 1 :]) for k in range(40)]
@@ -343,6 +432,14 @@ def test_repeats(docs, empty, width, hot):
     assert repeats.remove_repeats(empty, width).count() == 0
 
 
+@pytest.mark.parametrize("width", [1, 2, 7, 8, 9, 64, 200])
+def test_suffix_ranks_are_the_order_of_bytes(width):
+    data = np.random.default_rng(width).integers(0, 2, 1500).astype(np.uint8).tobytes()
+    suffixes = [data[i : i + width] for i in range(len(data) - width + 1)]
+    place = {x: i for i, x in enumerate(sorted(set(suffixes)))}
+    assert repeats.suffix_ranks(np.frombuffer(data, np.uint8), width).tolist() == [place[x] for x in suffixes]
+
+
 def test_repeats_of_equal_rows(docs):
     twice = repeats.remove_repeats(docs.unionByName(docs), 5).collect()
     assert len(twice) == 2 * len(TEXTS) and all(r.n_removed == (r.n_bytes if r.n_bytes >= 5 else 0) for r in twice)
