@@ -135,9 +135,21 @@ def query_tokens(text: str) -> list[str]:
     return re.findall("[a-z0-9_]+", low) + ([rest] if len(rest) == 1 else [rest[i : i + 2] for i in range(len(rest) - 1)])
 
 
+def is_word(token: str) -> bool:
+    """Whether a search token is one of ASCII letters, digits and underscores."""
+    return re.fullmatch("[a-z0-9_]+", token) is not None
+
+
+def found_words(c: Column, tokens: list[str]) -> Column:
+    """All occurrences of these ASCII search tokens in a text, by one pattern in one pass."""
+    if not tokens:
+        return F.array().cast("array<string>")
+    return F.regexp_extract_all(F.lower(c), F.lit(rf"(?<![a-z0-9_])(?:{'|'.join(tokens)})(?![a-z0-9_])"), F.lit(0))
+
+
 def token_count(c: Column, token: str) -> Column:
     """How often a search token occurs in a text, without building its token list."""
-    if re.fullmatch("[a-z0-9_]+", token):
+    if is_word(token):
         return F.regexp_count(F.lower(c), F.lit(rf"(?<![a-z0-9_]){token}(?![a-z0-9_])"))
     rest = other_letters(c)
     found = F.regexp_count(rest, F.lit(f"(?={_quote(token)})"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from spindrift.functions import text as T
 # How files, roots and trees are written.
 FILE_HEADER = r"(?U)###.*?[\(`]([\w\-\./]+\.[a-zA-Z0-9]+)[\)`]?"
 ROOT_BEFORE_TREE = r"(?U)([\w_-]+)/\s*\n├──"
-FENCED = r"```[\w]*\n(.*?)```"
+FENCED = r"(?s)```[\w]*\n(.*?)```"
 TREE_PREFIX = r"^([│├─└\s]*)(.*)"
 PROSE = r"[ぁ-んァ-ン一-龥]"
 LONGEST_LINE = 100
@@ -40,43 +37,39 @@ def code_files(texts: DataFrame, id_col: str = "id", text_col: str = "text") ->
     blocks = rows.groupBy("id", "root", "block").agg(F.max(F.when(F.col("closing"), F.struct("pos", "file"))).alias("end"), F.array_sort(F.collect_list(F.when(inside, F.struct("pos", "line")))).alias("body"))
     found = blocks.filter("end.file IS NOT NULL")
     path = F.when((F.col("root") == "") | F.startswith(F.col("end.file"), F.col("root")), F.col("end.file")).otherwise(F.concat_ws("/", "root", "end.file"))
-    found = found.select("id", path.alias("path"), F.array_join(F.transform("body", lambda b: b.line), "\n").alias("content"), F.col("end.pos").alias("pos"))
+    found = found.select("id", path.alias("path"), F.array_join(F.transform("body", lambda b: b["line"]), "\n").alias("content"), F.col("end.pos").alias("pos"))
     return found.groupBy("id", "path").agg(F.max_by("content", "pos").alias("content"), F.max("pos").alias("pos"))
 
 
-def tree_entries(text: str) -> list[tuple[int, str, str]]:
-    """pos, path, action of a drawn directory tree in a text: the first fenced block that has one, else all lines."""
-    blocks = re.findall(FENCED, text or "", re.DOTALL)
-    rows = next((b for b in blocks if "├──" in b or "└──" in b), text or "").splitlines()
-    above: list[tuple[int, str]] = []
-    out = []
-    for row in rows:
-        row = row.partition("#")[0].rstrip()
-        if not row.strip() or len(row) > LONGEST_LINE or re.search(PROSE, row):
-            continue
-        prefix, name = re.match(TREE_PREFIX, row).groups()
-        name = name.strip()
-        if not name or not prefix and not (name.endswith("/") or "." in name):
-            continue
-        while above and above[-1][0] >= len(prefix):
-            above.pop()
-        parent = above[-1][1] if above else "."
-        path = name if name.startswith("/") else f"{parent.rstrip('/')}/{name}"
-        folder = name.endswith("/") or "." not in name.rpartition("/")[2]
-        if folder:
-            above.append((len(prefix), path))
-        out.append((len(out), path, "mkdir" if folder else "touch"))
-    return out
-
-
 def directory_actions(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id, pos, path, action (mkdir or touch): what a drawn tree asks for, in order."""
+    """id, pos, path, action (mkdir or touch): what a drawn tree asks for, in order.  Ids tell texts apart.
 
-    @F.pandas_udf("array<struct<pos:int,path:string,action:string>>")
-    def entries(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: [{"pos": p, "path": q, "action": a} for p, q, a in tree_entries(t)])
-
-    return texts.select(F.col(id_col).alias("id"), F.explode(entries(F.col(text_col))).alias("e")).select("id", "e.*")
+    The first fenced block with a branch counts, else all lines.  An entry's folders are found by windows: at
+    each depth that some folder of the text has, the last entry so far that isn't deeper is an ancestor of what follows further in
+    if it is a folder of just that depth.  A name that starts with a slash starts its path anew.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    drawn = F.filter(F.regexp_extract_all(text, F.lit("(?U)" + FENCED), F.lit(1)), lambda b: F.contains(b, F.lit("├──")) | F.contains(b, F.lit("└──")))
+    shown = texts.select(F.col(id_col).alias("id"), F.posexplode(T.lines(F.coalesce(F.get(drawn, F.lit(0)), text))).alias("line_no", "line"))
+    cut = T.rstrip(F.substring_index("line", "#", 1))
+    shown = shown.select("id", "line_no", cut.alias("line")).filter((F.col("line") != "") & (F.length("line") <= LONGEST_LINE) & ~F.col("line").rlike(PROSE))
+    shown = shown.select("id", "line_no", F.length(F.regexp_extract("line", "(?U)" + TREE_PREFIX, 1)).alias("depth"), T.strip(F.regexp_extract("line", "(?U)" + TREE_PREFIX, 2)).alias("name"))
+    named = F.endswith("name", F.lit("/")) | F.contains("name", F.lit("."))
+    folder = F.endswith("name", F.lit("/")) | ~F.contains(T.file_name(F.col("name")), F.lit("."))
+    entries = shown.filter((F.col("name") != "") & ((F.col("depth") > 0) | named)).withColumn("folder", folder)
+    levels = entries.filter("folder").groupBy("id").agg(F.sort_array(F.collect_set("depth")).alias("levels"))  # depths of one text
+    each = entries.join(levels, "id", "left").withColumn("level", F.explode_outer("levels"))
+    before = Window.partitionBy("id", "level").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    above = F.last(F.when(F.col("depth") <= F.col("level"), F.struct("depth", "folder", "name")), ignorenulls=True).over(before)
+    holds = (F.col("level") < F.col("depth")) & (F.col("above.depth") == F.col("level")) & F.col("above.folder")
+    chains = each.withColumn("above", above).groupBy("id", "line_no", "name", "folder").agg(F.array_sort(F.collect_list(F.when(holds, F.struct("level", F.col("above.name").alias("name"))))).alias("chain"))
+    parts = F.concat(F.transform("chain", lambda c: c["name"]), F.array("name"))
+    start = F.array_max(F.transform(parts, lambda p, i: F.when(F.startswith(p, F.lit("/")), i)))
+    joined = F.array_join(F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.rtrim(p, F.lit("/"))).otherwise(p)), "/")
+    anew = F.array_join(F.transform(F.slice(parts, start + 1, F.size(parts)), lambda p, i: F.when(i < F.size(parts) - start - 1, F.rtrim(p, F.lit("/"))).otherwise(p)), "/")
+    path = F.when(start.isNull(), F.concat(F.lit("./"), joined)).otherwise(anew)
+    order = F.row_number().over(Window.partitionBy("id").orderBy("line_no")) - 1
+    return chains.select("id", order.alias("pos"), path.alias("path"), F.when(F.col("folder"), "mkdir").otherwise("touch").alias("action"))
 
 
 def requested_packages(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ def dependencies(files: DataFrame) -> DataFrame:
     return named.join(stems, "name").filter("src <> dst").select("src", "dst").distinct()
 
 
-def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """id: the seeds and all that they lead to.  seeds: id.
 
     A breadth-first frontier; each round joins only the newly found nodes and is written, so that the plan stays
@@ -29,13 +29,12 @@ def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFra
     """
     known = written(seeds.select("id").distinct(), "closure")
     frontier = known
-    for _ in range(rounds):
+    while True:
         found = frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti")
         frontier = written(found, "frontier")
         if frontier.isEmpty():
-            break
+            return known
         known = written(known.unionByName(frontier), "closure")
-    return known
 
 
 def direct_dependencies(edges: DataFrame, targets: DataFrame) -> DataFrame:

@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import constants as K
 from spindrift.functions import text as T
+from spindrift.plans.scratch import written
 
 
 def bm25(corpus: DataFrame, query: str, id_col: str = "id", text_col: str = "text", k1: float = K.BM25_K1, b: float = K.BM25_B) -> DataFrame:
     """id, bm25 for every text; a text's length is its number of characters, repeated query tokens count again.
 
-    Only the query's tokens are counted, in one pass without a shuffle; the corpus statistics are one
-    aggregated row, joined back to the counts.
+    The texts are read once: the query's tokens are counted, all words by one pattern, and the counts written, a few numbers a
+    text.  The corpus statistics are one aggregated row of that table, joined back to it.
     """
     asked = Counter(T.query_tokens(query))
     text = F.coalesce(F.col(text_col), F.lit(""))
     tokens = sorted(asked)
-    counts = corpus.select(F.col(id_col).alias("id"), F.length(text).alias("_len"), *[T.token_count(text, t).alias(f"_t{i}") for i, t in enumerate(tokens)])
+    plain = [t for t in tokens if T.is_word(t)]
+    found = corpus.select(F.col(id_col).alias("id"), F.length(text).alias("_len"), T.found_words(text, plain).alias("_found"), *[T.token_count(text, t).alias(f"_t{i}") for i, t in enumerate(tokens) if t not in plain])
+    among = lambda t: F.size(F.filter("_found", lambda w: w == F.lit(t)))
+    words = {i: among(t) for i, t in enumerate(tokens) if t in plain}
+    counts = written(found.select("id", "_len", *[words.get(i, F.col(f"_t{i}")).alias(f"_t{i}") for i in range(len(tokens))]), "counts")
     stats = counts.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.sum(F.when(F.col(f"_t{i}") > 0, 1).otherwise(0)).alias(f"_d{i}") for i in range(len(tokens))])
     score: Column = F.lit(0.0)
     for i, t in enumerate(tokens):

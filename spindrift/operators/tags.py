@@ -8,42 +8,53 @@ from pyspark.sql import functions as F
 from spindrift.functions import code as C
 from spindrift.functions import constants as K
 from spindrift.functions import text as T
+from spindrift.plans.scratch import written
 
 
-def document_frequency(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, df over texts; counted with map-side sums."""
-    return texts.select(F.explode(F.array_distinct(T.identifiers(F.col(text_col)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+def terms(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """row, id, ord, word, n, first, total: each text's words with how often and where first, and its number of words.
 
+    A text without words has one row, with a null word.  Written, so that several statistics take one scan of the texts.
+    `ord` orders texts where they have a column of that name.
+    """
+    ord_ = F.col("ord") if "ord" in texts.columns else F.lit(0)
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), ord_.alias("ord"), T.identifiers(F.coalesce(F.col(text_col), F.lit(""))).alias("_w"))
+    words = rows.select("row", "id", "ord", F.size("_w").alias("total"), F.posexplode_outer("_w").alias("pos", "word"))
+    return written(words.groupBy("row", "id", "ord", "total", "word").agg(F.count("word").alias("n"), F.min("pos").alias("first")), "terms")
 
-def inverse_document_frequency(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, idf = ln(N / (1 + df)) + 1; empty texts count in N."""
-    n = texts.agg(F.count(F.lit(1)).alias("_n"))
-    return document_frequency(texts, text_col).crossJoin(F.broadcast(n)).select("word", (F.log(F.col("_n") / (1 + F.col("df"))) + 1).alias("idf"))  # one row
 
+def document_frequency(found: DataFrame) -> DataFrame:
+    """word, df over the texts of a `terms` table; counted with map-side sums."""
+    return found.filter("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
-def vocabulary(texts: DataFrame, text_col: str = "text", size: int = K.VOCABULARY_SIZE) -> DataFrame:
-    """The most frequent words, ties by first occurrence: word, n.  texts has an `ord` if it has several rows."""
-    ord_ = F.col("ord") if "ord" in texts.columns else F.lit(0)
-    words = texts.select(ord_.alias("ord"), F.posexplode(T.identifiers(F.col(text_col))).alias("pos", "word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "pos")).alias("first")).orderBy(F.col("n").desc(), "first").limit(size).select("word", "n")
+
+def inverse_document_frequency(found: DataFrame) -> DataFrame:
+    """word, idf = ln(N / (1 + df)) + 1; texts without words count in N."""
+    n = found.filter("first = 0 OR word IS NULL").agg(F.count(F.lit(1)).alias("_n"))  # one row of each text
+    return document_frequency(found).crossJoin(F.broadcast(n)).select("word", (F.log(F.col("_n") / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+
+
+def vocabulary(found: DataFrame, size: int = K.VOCABULARY_SIZE) -> DataFrame:
+    """The most frequent words of a `terms` table, ties by first occurrence: word, n."""
+    words = found.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"), F.min(F.struct("ord", "first")).alias("at"))
+    return words.orderBy(F.col("n").desc(), "at").limit(size).select("word", "n")
 
 
-def top_words(texts: DataFrame, idf: DataFrame | None = None, vocab: DataFrame | None = None, id_col: str = "id", text_col: str = "text", k: int = K.TAGS_PER_TEXT) -> DataFrame:
-    """id, word, score, rank: the k words of the highest term weight, ties by first occurrence.
+def top_words(found: DataFrame, idf: DataFrame | None = None, vocab: DataFrame | None = None, k: int = K.TAGS_PER_TEXT) -> DataFrame:
+    """id, word, score, rank: the k words of the highest term weight of each text of a `terms` table, ties by first occurrence.
 
-    Unknown words have idf 1; words of the vocabulary count twice.
+    Unknown words have idf 1; words of the vocabulary, of whatever size, count twice.
     """
-    words = texts.select(F.col(id_col).alias("id"), T.identifiers(F.col(text_col)).alias("_w"))
-    counted = words.select("id", F.size("_w").alias("_all"), F.posexplode("_w").alias("pos", "word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.first("_all").alias("_all"))
-    score = F.col("n") / F.col("_all")
+    counted = found.filter("word IS NOT NULL")
+    score = F.col("n") / F.col("total")
     if idf is not None:
-        counted = counted.join(idf, "word", "left")
+        counted = counted.join(idf.select("word", "idf"), "word", "left")
         score = score * F.coalesce("idf", F.lit(1.0))
     if vocab is not None:
-        counted = counted.join(F.broadcast(vocab.select("word", F.lit(True).alias("_known")).limit(10 * K.VOCABULARY_SIZE)), "word", "left")
+        counted = counted.join(vocab.select("word", F.lit(True).alias("_known")).distinct(), "word", "left")
         score = score * F.when(F.col("_known"), K.VOCABULARY_BOOST).otherwise(1.0)
     scored = counted.withColumn("score", score)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "first"))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score").desc(), "first"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "word", "score", "rank")
 
 
@@ -53,7 +64,7 @@ def file_tags(files: DataFrame, idf: DataFrame | None = None, vocab: DataFrame |
     A Python text that parses gives its definitions by parser; others, and Python texts that would have no tag
     at all, by pattern.
     """
-    best = top_words(files.select(F.col("rel_path").alias("id"), F.col("summary").alias("text")), idf, vocab).groupBy("id").agg(F.collect_list("word").alias("_words"))
+    best = top_words(terms(files, "rel_path", "summary"), idf, vocab).groupBy("id").agg(F.collect_list("word").alias("_words"))
     ext = T.extension(F.col("rel_path"))
     joined = files.join(best, files["rel_path"] == best["id"], "left")
     none = F.array().cast("array<string>")

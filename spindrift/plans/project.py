@@ -98,11 +98,11 @@ class ProjectDump:
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        return tags.vocabulary(self.files.filter(F.col("rel_path") == self.o.vocab_file).select(F.col("content").alias("text")))
+        return tags.vocabulary(tags.terms(self.files.filter(F.col("rel_path") == self.o.vocab_file), "rel_path", "content"))
 
     @cached_property
     def idf(self) -> DataFrame:
-        return tags.inverse_document_frequency(self.focused.filter("content <> ''").select(T.summary(F.col("content")).alias("text")))
+        return tags.inverse_document_frequency(tags.terms(self.focused.filter("content <> ''").select("rel_path", T.summary(F.col("content")).alias("text")), "rel_path"))
 
     def _tagged(self, files: DataFrame, summary: Column) -> DataFrame:
         rows = files.select("rel_path", "content", summary.alias("summary"))

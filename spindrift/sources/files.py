@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 from collections.abc import Iterator
+from fnmatch import translate
 from pathlib import Path
 
 import pandas as pd
@@ -65,23 +67,44 @@ def _file_system(root: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), str(Path(root).absolute()))
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """rel_path, mtime, size of all files below a folder, or of one file.
+_LISTED = "rel_path string, mtime timestamp, size bigint"
 
-    Spark's own readers pass over names that start with _ or ., so names are listed by the driver and contents are read
-    by the executors.
+
+def listing(spark: SparkSession, root: str, excludes: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """rel_path, mtime, size of all files below a folder, or of one file.  Excluded folders are not entered.
+
+    Spark's own readers pass over names that start with _ or ., so folders are listed here.  The driver lists the top folder alone;
+    the folders in it are walked by the executors, each by one task.
     """
     fs, base = _file_system(root)
     base = base.rstrip("/")
-    single = fs.get_file_info(base).type == pafs.FileType.File
-    found = [fs.get_file_info(base)] if single else fs.get_file_info(pafs.FileSelector(base, recursive=True))
-    start = base.rfind("/") + 1 if single else len(base) + 1
-    rows = [(f.path[start:], f.mtime, f.size) for f in found if f.type == pafs.FileType.File]
-    return spark.createDataFrame(rows, "rel_path string, mtime timestamp, size bigint")
+    top = fs.get_file_info(base)
+    if top.type == pafs.FileType.File:
+        return spark.createDataFrame([(base[base.rfind("/") + 1 :], top.mtime, top.size)], _LISTED)
+    skip = [re.compile(translate(p)) for p in dict.fromkeys(excludes)]
+    found = fs.get_file_info(pafs.FileSelector(base))
+    here = spark.createDataFrame([(f.base_name, f.mtime, f.size) for f in found if f.type == pafs.FileType.File], _LISTED)
+    folders = [f.base_name for f in found if f.type == pafs.FileType.Directory and not any(p.match(f.base_name) for p in skip)]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _file_system(root)
+        base = base.rstrip("/")
+        for b in batches:
+            todo = [f"{base}/{name}" for name in b.column(0).to_pylist()]
+            while todo:
+                inside = [f for f in fs.get_file_info(pafs.FileSelector(todo.pop(), allow_not_found=True)) if not any(p.match(f.base_name) for p in skip)]
+                todo += [f.path for f in inside if f.type == pafs.FileType.Directory]
+                rows = [f for f in inside if f.type == pafs.FileType.File]
+                yield pa.RecordBatch.from_arrays([pa.array([f.path[len(base) + 1 :] for f in rows], pa.string()), pa.array([f.mtime for f in rows], pa.timestamp("us", "UTC")), pa.array([f.size for f in rows], pa.int64())], ["rel_path", "mtime", "size"])
+
+    if not folders:
+        return here
+    names = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(len(folders))
+    return here.unionByName(names.mapInArrow(walk, _LISTED))
 
 
 def read_contents(files: DataFrame, root: str) -> DataFrame:
-    """files (rel_path, ..., is_preview) with content as bytes, null for files that aren't shown or can't be read."""
+    """files (rel_path, ..., wanted) with content as bytes, null for files that aren't wanted or can't be read."""
     base = root.rstrip("/")
     single = _file_system(base)[0].get_file_info(_file_system(base)[1]).type == pafs.FileType.File
     names = files.columns
@@ -92,7 +115,7 @@ def read_contents(files: DataFrame, root: str) -> DataFrame:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
                 raw = None
-                if row.column(names.index("is_preview"))[0].as_py():
+                if row.column(names.index("wanted"))[0].as_py():
                     path = folder if single else f"{folder}/{row.column(names.index('rel_path'))[0].as_py()}"
                     try:
                         with fs.open_input_stream(path) as f:
@@ -108,12 +131,14 @@ def read_contents(files: DataFrame, root: str) -> DataFrame:
 def scan(spark: SparkSession, root: str, excludes: list[str] | tuple[str, ...] = K.EXCLUDES, preview_exts: list[str] | tuple[str, ...] = K.PREVIEW_EXTS, include_non_preview: bool = False, max_mb: float = K.PREVIEW_MB, listed: DataFrame | None = None, contents: bool = True) -> DataFrame:
     """rel_path, mtime, content, is_preview of the files below a root folder, or of one file.
 
-    Only files that are kept and shown are opened; without contents none is.
+    Excluded folders aren't walked.  Only files that are kept, shown and small enough are opened; without contents none is.  A file
+    of another encoding can be under the limit in bytes and over it in UTF-8, so the text's size counts, too.
     """
-    kept = select_files(listing(spark, root), excludes, preview_exts, include_non_preview, listed=listed)
+    kept = select_files(listing(spark, root, excludes), excludes, preview_exts, include_non_preview, listed=listed)
     if not contents:
         return kept.select("rel_path", "mtime", F.lit("").alias("content"), "is_preview")
-    read = read_contents(kept.select("rel_path", "mtime", "is_preview").repartition("rel_path"), root)
+    small = F.col("size") <= 4 * int(max_mb * 1024 * 1024)  # no encoding here needs over 4 bytes for one of UTF-8
+    read = read_contents(kept.select("rel_path", "mtime", "is_preview", (F.col("is_preview") & small).alias("wanted")).repartition("rel_path"), root)
     return read.select("rel_path", "mtime", F.coalesce(capped(decoded(F.col("content")), max_mb), F.lit("")).alias("content"), "is_preview")
 
 

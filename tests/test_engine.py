@@ -136,10 +136,10 @@ def test_vectors(spark):
 
 def test_tags(spark):
     texts = spark.createDataFrame([(1, "beta alpha beta gamma delta"), (2, ""), (3, "alpha")], "id int, text string")
-    best = [(r.id, r.word, r["rank"]) for r in tags.top_words(texts).orderBy("id", "rank").collect()]
+    best = [(r.id, r.word, r["rank"]) for r in tags.top_words(tags.terms(texts)).orderBy("id", "rank").collect()]
     assert best == [(1, "beta", 1), (1, "alpha", 2), (1, "gamma", 3), (3, "alpha", 1)]
     vocab = spark.createDataFrame([("delta", 1)], "word string, n int")
-    assert [r.word for r in tags.top_words(texts, None, vocab).filter("id = 1").orderBy("rank").collect()] == ["beta", "delta", "alpha"]
+    assert [r.word for r in tags.top_words(tags.terms(texts), None, vocab).filter("id = 1").orderBy("rank").collect()] == ["beta", "delta", "alpha"]
     assert one(spark, tags.has_tags(F.split("t", ","), ["A", "b"]), t="a,B,c") and not one(spark, tags.has_tags(F.split("t", ","), ["x"]), t="a")
 
 
@@ -424,10 +424,34 @@ def test_code_files_of_answers(spark):
     assert got == {(0, "a.py"): "1", (1, "b.py"): "after", (3, "proj/d.py"): "1", (3, "proj/e.py"): "2"}
 
 
-def test_tree_entries():
+def test_directory_actions(spark):
     text = "Intro text\n```\nroot/\n├── src/\n│   ├── a.py # note\n│   └── deep\n└── 説明\nplain\n```"
-    assert assistant_text.tree_entries(text) == [(0, "./root/", "mkdir"), (1, "./root/src/", "mkdir"), (2, "./root/src/a.py", "touch"), (3, "./root/src/deep", "mkdir")]
-    assert assistant_text.tree_entries("a.txt\nnot a path\n" + "x" * 101 + ".") == [(0, "./a.txt", "touch")]
+    uneven = "top/\n    ├── a/\n    ├── b.txt\n        ├── under b.txt\n  ├── between/\n    └── c.d\n/abs/\n└── e.f\n└── g/\n    └── h.i"
+    table = spark.createDataFrame([(0, text), (1, "a.txt\nnot a path\n" + "x" * 101 + "."), (2, uneven), (3, ""), (4, None)], "id int, text string")
+    got = {}
+    for r in assistant_text.directory_actions(table).orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append((r.pos, r.path, r.action))
+    assert got == {
+        0: [(0, "./root/", "mkdir"), (1, "./root/src/", "mkdir"), (2, "./root/src/a.py", "touch"), (3, "./root/src/deep", "mkdir")],
+        1: [(0, "./a.txt", "touch")],
+        2: [(0, "./top/", "mkdir"), (1, "./top/a/", "mkdir"), (2, "./top/b.txt", "touch"), (3, "./top/under b.txt", "touch"), (4, "./top/between/", "mkdir"), (5, "./top/between/c.d", "touch"), (6, "/abs/", "mkdir"), (7, "/abs/e.f", "touch"), (8, "/abs/g/", "mkdir"), (9, "/abs/g/h.i", "touch")],
+    }
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["k {", "}", "x { y", "} k {", "k", "{ }", "k { }", "}}"]), max_size=14))
+def test_brace_blocks(rows):
+    """Against a scan from each line with the keyword."""
+    want = []
+    for first, row in enumerate(rows):
+        level, opened = 0, False
+        for last in range(first, len(rows)) if "k" in row and "{" in row else ():
+            level += rows[last].count("{") - rows[last].count("}")
+            opened = opened or level > 0
+            if opened and level == 0:
+                want.append("\n".join(rows[first : last + 1]))
+                break
+    assert C.brace_blocks("\n".join(rows), "k") == ("\n\n".join(want) or None)
 
 
 # ---------------------------------------------------------------- streams and the registry
