@@ -97,6 +97,16 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def carried(names: tuple[str, ...]) -> Column:
+    """The named columns as one, `_carried`, so that their names clash with none of ours on the way."""
+    return (F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]) if names else F.lit(None).cast("boolean")).alias("_carried")
+
+
+def given_back(names: tuple[str, ...], ours: tuple[str, ...]) -> list[Column]:
+    """Carried columns again; one with the name of a result column is called carried_<name>."""
+    return [F.col("_carried")[f"c{i}"].alias(f"carried_{n}" if n.lower() in ours else n) for i, n in enumerate(names)]
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
@@ -175,7 +185,7 @@ def _powers(base: np.uint64, n: int, cache: dict = {}) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 1 << 24:
+        if size <= 1 << 21:  # tables for longer texts are made as they are needed
             cache[int(base)] = have
     return have[:n]
 

@@ -25,21 +25,20 @@ from pyspark.sql import functions as F
 
 from spindrift.llm._shared import _BASE, _INVERSE, _LUT, Scratch, _powers, blobs, bounded, groups, mix64, need
 
-#: Byte values, base and its inverse of two independent rolling hashes.
-_FIRST = (_LUT, _BASE, _INVERSE)
-_OTHER_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
-_SECOND = (mix64(_LUT ^ np.uint64(0x165667B19E3779F9)), _OTHER_BASE, np.uint64(pow(int(_OTHER_BASE), -1, 1 << 64)))
+#: Two independent byte values of the rolling hashes.
+_FIRST, _SECOND = _LUT, mix64(_LUT ^ np.uint64(0x165667B19E3779F9))
+#: Bytes of texts and of extents that a task works on at a time, however many rows they are; one text is always taken whole.
+_PIECE = 1 << 20
 
 
 class Rolling:
     """64-bit hashes of any spans of a byte buffer, from prefix sums."""
 
-    def __init__(self, raw: np.ndarray, kind: tuple = _FIRST):
-        letter, base, inverse = kind
+    def __init__(self, raw: np.ndarray, letters: np.ndarray = _FIRST):
         self.n = len(raw)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(letter[raw] * _powers(base, self.n), dtype=np.uint64, out=self.sums[1:])
-        self.inverse = _powers(inverse, self.n + 1)
+        np.cumsum(letters[raw] * _powers(_BASE, self.n), dtype=np.uint64, out=self.sums[1:])
+        self.inverse = _powers(_INVERSE, self.n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.inverse[start])
@@ -161,8 +160,7 @@ def suffix_ranks(data: np.ndarray, width: int) -> np.ndarray:
     Prefix doubling: ranks for k bytes, of a suffix and of the one k further on, give those for 2 k.  Suffixes of less than
     `width` bytes have no rank; there is one for each of the len(data) - width + 1 others.
     """
-    n = len(data) - width + 1
-    if n < 1:
+    if len(data) < width:
         return np.zeros(0, np.int64)
     have = min(8, width)
     key = np.zeros(len(data) - have + 1, np.uint64)
@@ -177,7 +175,7 @@ def suffix_ranks(data: np.ndarray, width: int) -> np.ndarray:
     return ranks
 
 
-def repeated_bytes(docs: DataFrame, width: int = 200, hot: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_bytes(docs: DataFrame, width: int = 200, hot: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, raw, los, his for every row: the first and last starts of runs of repeated windows, in no order.
 
     `hot`: from how many different extents of one gram on windows are counted by a shuffle on 128 bits of hash
@@ -192,7 +190,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, hot: int = 20_000, id_col:
     rows = rows.withColumns({"row": F.xxhash64(name, "raw"), "row2": F.xxhash64(F.lit(1), name, "raw")})  # 128 bits
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, "raw", 2 << 20):
+        for b in bounded(batches, "raw", _PIECE):
             raw, at = blobs(b.column(1))
             text, t, lo, hi, g, e, e2 = parse(raw, at, width, half)
             # extents found twice here need no partner elsewhere: one stands for all, and their runs go as they are
@@ -227,7 +225,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, hot: int = 20_000, id_col:
     texts = rows.join(wanted, ["row", "row2"]).select("row", "raw", "row2", "parts.kind", "parts.g", "parts.lo", "parts.span")
 
     def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, "raw", 2 << 20):
+        for b in bounded(batches, "raw", _PIECE):
             out = {k: [] for k in ("g", "kind", "row", "row2", "lo", "extent")}
             for row, raw, row2, kinds, gs, los, spans in zip(*(c.to_pylist() for c in b.columns)):
                 out["g"] += gs
@@ -260,15 +258,15 @@ def repeated_bytes(docs: DataFrame, width: int = 200, hot: int = 20_000, id_col:
 
         for t in groups(batches, "g"):  # a group is at most `hot` entries; small ones are settled together
             held.append(t)
-            size += t.num_rows
-            if size >= 4096:
+            size += t.column("extent").nbytes
+            if size >= _PIECE:
                 yield settle()
                 held, size = [], 0
         if held:
             yield settle()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, "extent", 1 << 20):
+        for b in bounded(batches, "extent", _PIECE):
             data, at = blobs(b.column(5))
             start, owner, offset = _windows(at, width)
             w, w2 = (Rolling(data, k).of(start, start + width).view(np.int64) for k in (_FIRST, _SECOND))
@@ -283,7 +281,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, hot: int = 20_000, id_col:
     return rows.join(flags, ["row", "row2"], "left").select("doc_id", "raw", F.col("lo").alias("los"), F.col("hi").alias("his"))
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, hot: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 200, hot: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for every row.
 
     A byte goes if a string of `width` bytes that covers it also starts anywhere else, in any row or the same.
@@ -294,7 +292,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, hot: int = 20_000, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, "raw", 2 << 20):
+        for b in bounded(batches, "raw", _PIECE):
             removed, runs, kept, sizes = [], [], [], []
             for raw, los, his in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 sizes.append(len(raw))
