@@ -134,10 +134,13 @@ def with_next(scratch: Scratch, rows: DataFrame) -> DataFrame:
     Texts are moved once, to their key, and beginnings of them once more, to the row before.
     """
     pairs = following(scratch, rows.select("doc_id", "key", "h", F.length("text").cast("bigint").alias("n_chars")))
-    texts = rows.select("key", "h", "text").groupBy("key", "h").agg(F.first("text").alias("text"))
+    # one of equal rows, told by a running count after the texts' only exchange: an aggregation would sort them before it, too
+    seen = F.count(F.lit(1)).over(Window.partitionBy("key", "h").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    texts = rows.select("key", "h", "text").withColumn("_seen", seen).filter("_seen = 1").drop("_seen")
     asked = pairs.select(F.col("next_key").alias("key"), F.col("next_h").alias("h"), F.struct("key", "h", "again").alias("to"), _swap().alias("swap"))
-    begun = asked.join(texts, ["key", "h"]).select("to.*", F.substring(F.col("text"), F.lit(1), F.col("swap")).alias("next_text"))
-    return pairs.join(texts, ["key", "h"]).join(begun, ["key", "h", "again"])
+    begun = texts.hint("merge").join(asked.hint("merge"), ["key", "h"]).select("to.key", "to.h", F.col("to.again").alias("_again"), F.substring(F.col("text"), F.lit(1), F.col("swap")).alias("next_text"))
+    both = texts.hint("merge").join(pairs.hint("merge"), ["key", "h"]).join(begun.hint("merge"), ["key", "h"])
+    return both.filter((F.col("again").cast("int") + F.col("_again").cast("int")) % 2 == 0).drop("_again")  # no join key, so that texts stay where they are
 
 
 def likeness(a: Column, b: Column) -> Column:
