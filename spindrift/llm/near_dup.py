@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm._shared import Scratch, blobs, bounded, groups, mix64, need, words
@@ -28,6 +28,8 @@ from spindrift.llm._shared import Scratch, blobs, bounded, groups, mix64, need,
 BANDS, ROWS = 25, 5
 #: Documents of a block in the second check: a task holds two blocks' texts.
 BLOCK = 512
+#: Documents that are checked against one hub in one part.
+PART = 256
 
 
 def shingles(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +193,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     signed = scratch.write(_sign(rows, size), "signed")
     # equal sets: one representative
     full = signed.filter("n_shingles > 0")
-    reps = scratch.write(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "bands", "hint")).alias("m")).select("s1", "s2", "rep", "m.bands", "m.hint"), "reps")
+    firsts = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    seen = F.row_number().over(Window.partitionBy("rep").orderBy("s1"))  # repeated rows of an id have one set
+    own = full.select(F.col("doc_id").alias("rep"), "s1", "s2", "bands", "hint").join(firsts, ["s1", "s2", "rep"])
+    reps = scratch.write(own.withColumn("_n", seen).filter("_n = 1").drop("_n"), "reps")
     exploded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     hubs = exploded.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("docs")).filter("docs > 1")
     members = scratch.write(exploded.join(hubs, ["band", "key"]), "members")
@@ -219,9 +224,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def _check_stars(scratch: Scratch, rows: DataFrame, stars: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: hubs and documents that are linked.  A hub's documents are dealt in parts, each with the hub's text."""
-    parts = 16
-    pairs = scratch.write(stars.select("hub", "rep", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias("part")), "stars")
+    """a, b: hubs and documents that are linked.  A hub's documents are dealt in parts of about PART, each with the hub's text."""
+    sizes = stars.groupBy("hub").agg(F.count(F.lit(1)).alias("docs"))
+    pairs = stars.join(sizes, "hub").select("hub", "rep", F.pmod(F.xxhash64("rep"), F.ceil(F.col("docs") / PART)).cast("int").alias("part"))
+    pairs = scratch.write(pairs, "stars")
     heads = pairs.select(F.col("hub").alias("doc"), "hub", F.col("hub").alias("rep"), "part", F.lit(False).alias("follows")).distinct()
     asked = heads.unionByName(pairs.select(F.col("rep").alias("doc"), "hub", "rep", "part", F.lit(True).alias("follows")))
     # texts are always shuffled, once: a broadcast of what is asked for would only do for small tables
