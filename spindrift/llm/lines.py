@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm._shared import SPACE, Scratch, lower_ascii, need
+from spindrift.llm._shared import SPACE, Scratch, carried, given_back, lower_ascii, need
 
 _KEY = ("h1", "h2")
 
@@ -71,16 +71,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     Lines are split at \\n; a line's key is the line without white space at its ends, A-Z lower-cased.
     Keys of at least `min_chars` code points that at least `min_docs` rows have lose all their lines.
     Null or empty text is one empty line.  Rows of equal id are documents of their own, as are rows
-    of null id.  Other columns are left out but for those named in `carry`.  Any text length: a document is handled by hash-based array
+    of null id.  Other columns are left out but for those named in `carry`; one with the name of a result column comes as carried_<name>.  Any text length: a document is handled by hash-based array
     functions in one row, and only (hash, document, position) triples are shuffled for counting.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    if {"text", "doc_id", "lines", "row", "dropped", "n_lines", "n_dropped", "kept"} & set(carry):
-        raise ValueError("a carried column has a name of ours")
-    rows = need(docs, *dict.fromkeys((id_col, text_col, *carry))).select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *[F.col(f"`{c}`") for c in carry])
+    rows = need(docs, *dict.fromkeys((id_col, text_col, *carry))).select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), carried(carry))
     lines = rows.withColumn("lines", F.split("text", "\n", -1))
-    row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null")), "text")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null"))
+    row = F.struct(F.xxhash64(name, "text").alias("a"), F.xxhash64(F.lit(1), name, "text").alias("b"))  # 128 bits
     keyed = lines.select(
         row.alias("row"),
         F.transform("lines", lambda x, i: F.struct(F.xxhash64(line_key(x)).alias("h1"), F.xxhash64(F.lit(1), line_key(x)).alias("h2"), i.alias("pos"), (F.length(line_key(x)) >= min_chars).alias("counts"))).alias("keys"),
@@ -88,7 +87,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     ordered = keyed.select("row", F.array_sort(F.filter("keys", lambda k: k.counts)).alias("keys"))
     at = F.transform("keys", lambda k, i: F.struct(k.h1.alias("h1"), k.h2.alias("h2"), k.pos.alias("pos"), ((i == 0) | (F.get("keys", i - 1).h1 != k.h1) | (F.get("keys", i - 1).h2 != k.h2)).alias("first")))
     # one row for each line, in batches by document
-    table = scratch.write(ordered.select("row", F.explode(at).alias("k")).select("row", "k.*", F.pmod(F.col("row"), F.lit(batches)).cast("int").alias("batch")), "keys")
+    table = scratch.write(ordered.select("row", F.explode(at).alias("k")).select("row", "k.*", F.pmod(F.col("row.a"), F.lit(batches)).cast("int").alias("batch")), "keys")
     runs = LineRuns(spark, min_docs, fanout, scratch)
     for b in range(batches):
         runs.add(table.filter((F.col("batch") == b) & F.col("first")).select(*_KEY))
@@ -96,4 +95,4 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     found = table.select("row", *_KEY, "pos").join(repeated, list(_KEY), "left_semi").groupBy("row").agg(F.collect_set("pos").alias("dropped"))
     joined = lines.withColumn("row", row).join(found, "row", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped")), lambda i: F.get("lines", i))
-    return joined.select("doc_id", F.size("lines").cast("bigint").alias("n_lines"), F.size("dropped").cast("bigint").alias("n_dropped"), F.when(F.size("dropped") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept"), *[F.col(f"`{c}`") for c in carry])
+    return joined.select("doc_id", F.size("lines").cast("bigint").alias("n_lines"), F.size("dropped").cast("bigint").alias("n_dropped"), F.when(F.size("dropped") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept"), *given_back(carry, ("doc_id", "n_lines", "n_dropped", "kept")))
