@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm._shared import Scratch, blobs, bounded, mix64, need, salts, words
+from spindrift.llm._shared import Scratch, blobs, bounded, carried, given_back, mix64, need, salts, words
 
-#: Sources are a small dimension: their totals, and shards times sources, go to the driver.
-MAX_SOURCES = 20_000
+#: Sources are a dimension: their totals go to the driver, and at most CELLS counts of shards times sources, as arrays.
+#: With many sources there are fewer, larger shards.  Up to SMALL sources their totals are broadcast.
+SMALL = 20_000
 MAX_SHARDS = 4096
+CELLS = 4_000_000
 
 
 def targets(sizes: list[int], weights: list[float], share: float, cap: float) -> list[float]:
@@ -116,7 +118,7 @@ def draw_shards(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def _count_words(docs: DataFrame, id_col: str, source_col: str, text_col: str, with_text: bool, carry: tuple[str, ...] = ()) -> DataFrame:
-    rows = need(docs, *dict.fromkeys((id_col, source_col, text_col, *carry))).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("raw"), *[F.col(f"`{c}`") for c in carry])
+    rows = need(docs, *dict.fromkeys((id_col, source_col, text_col, *carry))).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("raw"), carried(carry))
     rows = rows.withColumn("_h", F.xxhash64("raw"))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -125,9 +127,9 @@ def _count_words(docs: DataFrame, id_col: str, source_col: str, text_col: str, w
             raw, at = blobs(b.column(2))
             _, _, text = words(raw, at, lower=False)
             sizes = pa.array(np.bincount(text, minlength=b.num_rows).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes, b.columns[-1], *([b.column(2)] if with_text else []), *b.columns[3:-1]], ["doc_id", "source", "size", "h", *(["raw"] if with_text else []), *carry])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes, b.columns[-1], *([b.column(2)] if with_text else []), b.column(3)], ["doc_id", "source", "size", "h", *(["raw"] if with_text else []), "_carried"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, source string, size bigint, h bigint" + ", raw binary" * with_text + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry))
+    return rows.mapInArrow(run, f"doc_id {kind}, source string, size bigint, h bigint" + ", raw binary" * with_text + f", _carried {rows.schema['_carried'].dataType.simpleString()}")
 
 
 class Mix:
@@ -138,19 +140,15 @@ class Mix:
     agree: draws and permutations depend on the seed alone, a source's stream on the ids.
     """
 
-    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 128, seed: int = 7, each: int = 5_000, with_text: bool = False, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: tuple[str, ...] = ()):
+    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 128, seed: int = 7, each: int = 1_000, with_text: bool = False, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: tuple[str, ...] = ()):
         if block < 1 or cap != int(cap):
             raise ValueError("blocks hold a word at least; the cap is a whole number of epochs")
-        if {"doc_id", "source", "size", "h", "row_key", "raw", "part", "no", "before", "source_no", "source_size", "target", "epoch", "lo", "hi"} & set(carry):
-            raise ValueError("a carried column has a name of ours")
         self.carry = carry
         spark = self.spark = docs.sparkSession
         self.scratch, self.block, self.seed = Scratch(spark, "mixing"), block, seed
         self.texts = self.scratch.write(_count_words(docs, id_col, source_col, text_col, with_text, carry).withColumn("row_key", F.monotonically_increasing_id()), "sized")
         sized = self.texts.select("doc_id", "source", "size", "h", "row_key")  # texts are left out of all windows
-        found = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
-        if len(found) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources")
+        found = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}  # a row for each source
         self.sources = sorted((s for s in found if s is not None)) + [None] * (None in found)
         self.sizes = [int(found[s][0]) for s in self.sources]
         self.targets = targets(self.sizes, [weights[i % len(weights)] for i in range(len(self.sources))], share, cap)
@@ -158,27 +156,28 @@ class Mix:
         quotas = [quota(n, w, block, seed, i) for i, (n, w) in enumerate(zip(self.sizes, wanted))]
         self.quotas = np.array([q for q, _ in quotas], np.int64)
         self.cuts = [c for _, c in quotas]
-        self.shards = int(max(1, min(MAX_SHARDS, -(-int(self.quotas.sum()) // 8192)))) if len(self.quotas) else 0
-        # the streams: a source's documents in parts, by id within a part, parts one after the other
-        parts = salts(max((n for _, n in found.values()), default=1), each)
-        stats = spark.createDataFrame([(s, i, n, t) for i, (s, n, t) in enumerate(zip(self.sources, self.sizes, self.targets))], "source string, source_no int, source_size bigint, target double")
+        self.shards = int(max(1, min(MAX_SHARDS, CELLS // len(self.quotas), -(-int(self.quotas.sum()) // 8192)))) if len(self.quotas) else 0
+        # the streams: a source's documents in parts of about `each`, by id within a part, parts one after the other
+        stats = spark.createDataFrame([(s, i, n, t, salts(found[s][1], each)) for i, (s, n, t) in enumerate(zip(self.sources, self.sizes, self.targets))], "source string, source_no int, source_size bigint, target double, parts int")
+        stats = F.broadcast(stats) if len(found) <= SMALL else stats
+        part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
         order = [F.col("doc_id").asc_nulls_first(), "size", "h", "row_key"]
-        numbered = sized.join(F.broadcast(stats), sized["source"].eqNullSafe(stats["source"])).drop(stats["source"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))  # MAX_SOURCES rows at most
+        numbered = sized.join(stats, sized["source"].eqNullSafe(stats["source"])).drop(stats["source"]).withColumn("part", part).drop("parts")
         within = Window.partitionBy("source_no", "part").orderBy(*order)
         numbered = numbered.withColumn("no", F.row_number().over(within)).withColumn("before", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        if parts > 1:
-            sums = sized.join(F.broadcast(stats), sized["source"].eqNullSafe(stats["source"])).groupBy(F.col("source_no").alias("_s"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("_p")).agg(F.sum("size").alias("_n"))
+        if any(n > each for _, n in found.values()):
+            sums = sized.join(stats, sized["source"].eqNullSafe(stats["source"])).groupBy(F.col("source_no").alias("_s"), part.alias("_p")).agg(F.sum("size").alias("_n"))
             base = sums.select("_s", "_p", (F.sum("_n").over(Window.partitionBy("_s").orderBy("_p")) - F.col("_n")).alias("_base"))
             numbered = numbered.join(base, (F.col("source_no") == F.col("_s")) & (F.col("part") == F.col("_p"))).withColumn("before", F.col("before") + F.col("_base")).drop("_s", "_p", "_base")
         self.rows = numbered
 
     def slots(self) -> DataFrame:
         """source_no, shard, slot, block_no, epoch, take: the mix, a row for each slot."""
-        schema = "source_no int, shard int, first bigint, slots bigint"
         counts = draw_shards(self.quotas, self.shards, self.seed) if self.shards else np.zeros((0, 0), np.int64)
         firsts = np.cumsum(counts, axis=0) - counts
-        plan = [(int(s), int(g), int(firsts[g, s]), int(counts[g, s])) for g, s in zip(*np.nonzero(counts))]  # shards x sources at most
-        table = self.spark.createDataFrame(plan, schema)
+        g, s = np.nonzero(counts)  # CELLS at most
+        plan = pa.table({"source_no": s.astype(np.int32), "shard": g.astype(np.int32), "first": firsts[g, s].astype(np.int64), "slots": counts[g, s].astype(np.int64)})
+        table = self.spark.createDataFrame(plan)
         step = 1 << 14
         table = table.select("source_no", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1, F.lit(step))).alias("lo"), (F.col("first") + F.col("slots")).alias("end"))
         block, seed, sizes, quotas, cuts = self.block, self.seed, self.sizes, self.quotas, self.cuts
@@ -221,12 +220,12 @@ class Mix:
         """doc_id, source, epoch, text: what the mix takes of each document, a row for each epoch that takes some.
 
         A document that an epoch takes whole keeps its text as it is; of others the taken runs of words
-        remain as they are in the text, joined by \\n.  Needs with_text.
+        remain as they are in the text, joined by \\n.  Needs with_text.  Carried columns follow, one with the name of these as carried_<name>.
         """
         runs = self.parts().groupBy("source_no", "part", "no", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))  # blocks of one document at most
         keyed = runs.join(self.rows.select("source_no", "part", "no", "row_key"), ["source_no", "part", "no"]).select("row_key", "epoch", "runs")
         joined = keyed.hint("merge").join(self.texts, "row_key")  # the only shuffle of texts
-        rows = joined.select("doc_id", "source", "epoch", "size", "raw", F.transform("runs", lambda r: r.lo).alias("lo"), F.transform("runs", lambda r: r.hi).alias("hi"), *self.carry)
+        rows = joined.select("doc_id", "source", "epoch", "size", "raw", F.transform("runs", lambda r: r.lo).alias("lo"), F.transform("runs", lambda r: r.hi).alias("hi"), "_carried")
         kind = self.rows.schema["doc_id"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +245,8 @@ class Mix:
                         pieces.append(text[edges[2 * lo[k]] : edges[2 * hi[m] - 1]].decode())
                         k = m + 1
                     out.append("\n".join(pieces))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.string()), *b.columns[7:]], ["doc_id", "source", "epoch", "text", *b.schema.names[7:]])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.string()), b.column(7)], ["doc_id", "source", "epoch", "text", "_carried"])
 
-        more = "".join(f", `{c}` {self.texts.schema[c].dataType.simpleString()}" for c in self.carry)
-        return rows.mapInArrow(run, f"doc_id {kind}, source string, epoch int, text string{more}")
+        made = rows.mapInArrow(run, f"doc_id {kind}, source string, epoch int, text string, _carried {self.texts.schema['_carried'].dataType.simpleString()}")
+        ours = ("doc_id", "source", "epoch", "text")
+        return made.select(*ours, *given_back(self.carry, ours))
