@@ -44,15 +44,24 @@ def filter_captures(captures: DataFrame, events: DataFrame, id_col: str = "page_
     """id, host, fetched_at, n_matches, matched (the longest matching entry), blocked for every row.
 
     A null or malformed URL has an empty host (null URL: null host) and matches nothing, as does a null time.  Repeated rows
-    each give a row; other columns are left out.  Only hosts and times are moved, not pages.  A hot host is a
-    skewed key of one join, whose other side has few rows of it; Spark splits such partitions.
+    each give a row; other columns are left out.  Only hosts and times are moved, not pages.  The as-of join is one
+    window over list entries and captures in order of time, each distinct host and time once, so that a hot host is as many rows as it
+    has fetch times; the list is never broadcast for it.
     """
     scratch = Scratch(captures.sparkSession, "urls")
     slim = need(captures, id_col, url_col, time_col).select(F.col(f"`{id_col}`").alias("id"), host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{time_col}`").alias("fetched_at"))
     slim = scratch.write(slim.withColumn("uid", F.monotonically_increasing_id()), "captures")
-    listed = intervals(events)
-    keys = slim.select("uid", "fetched_at", F.explode(suffixes(F.col("host"))).alias("entry"))
-    hits = keys.join(listed, "entry").filter((F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until"))))
-    found = hits.groupBy("uid").agg(F.count(F.lit(1)).alias("n_matches"), F.max(F.struct(F.length("entry"), "entry")).alias("m")).select("uid", "n_matches", "m.entry")
-    out = slim.join(found, "uid", "left")
+    # captures that differ in neither host nor time are asked for once
+    asked = slim.filter("host <> '' AND fetched_at IS NOT NULL").groupBy("host", "fetched_at").agg(F.count(F.lit(1)).alias("_n")).select("host", "fetched_at")
+    keys = asked.select("host", "fetched_at", F.explode(suffixes(F.col("host"))).alias("entry"))
+    listed = intervals(events).select("entry", F.col("since").cast(slim.schema["fetched_at"].dataType).alias("at"), F.col("until").cast(slim.schema["fetched_at"].dataType).alias("until"))
+    kind = asked.schema["host"].dataType.simpleString()
+    both = keys.select("entry", F.col("fetched_at").alias("at"), F.col("host"), F.lit(None).cast(listed.schema["until"].dataType).alias("until"), F.lit(1).alias("side"))
+    both = both.unionByName(listed.select("entry", "at", F.lit(None).cast(kind).alias("host"), "until", F.lit(0).alias("side")))
+    # the stay that began last, at the fetch time or before it, holds if it hasn't ended
+    before = Window.partitionBy("entry").orderBy("at", "side")
+    last = F.last(F.when(F.col("side") == 0, F.struct(F.col("at").alias("since"), "until")), ignorenulls=True).over(before)
+    hits = both.withColumn("stay", last).filter("side = 1 AND stay IS NOT NULL AND (stay.until IS NULL OR at < stay.until)")
+    found = hits.groupBy("host", "at").agg(F.count(F.lit(1)).alias("n_matches"), F.max(F.struct(F.length("entry"), "entry")).alias("m")).select("host", F.col("at").alias("fetched_at"), "n_matches", "m.entry")
+    out = slim.join(found, ["host", "fetched_at"], "left")
     return out.select(F.col("id").alias(id_col), "host", "fetched_at", F.coalesce("n_matches", F.lit(0)).cast("bigint").alias("n_matches"), F.col("entry").alias("matched"), F.col("entry").isNotNull().alias("blocked"))
