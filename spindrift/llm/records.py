@@ -31,6 +31,8 @@ _HEAD = "<QI"
 _HEAD_SIZE = struct.calcsize(_HEAD)
 _ID = "<qB"
 _ID_SIZE = struct.calcsize(_ID)
+#: Bytes of text in a shard, at most about.
+SHARD_BYTES = 256 << 20
 _INDEX = np.dtype([("offset", "<u8"), ("ids", "<u8")])
 
 
@@ -77,30 +79,30 @@ def write_records(docs: DataFrame, place: str, vocabulary: str, end_id: int, par
     """Encode every whole text, append end_id, write records in ascending id order; return the manifest.
 
     The manifest has a row per file: shard, path, n_records, n_ids.  Shards follow each other in id order,
-    null ids first; equal ids are ordered by text.  Null text counts as empty: its record holds end_id
+    null ids first; equal ids are ordered by text.  A shard has about SHARD_BYTES of text at most, unless `partitions` says how many there are.  Null text counts as empty: its record holds end_id
     only.  An empty table gives no file.  A task that runs again writes the same bytes, under a name of
     its own that is moved into place when whole, so lost executors and speculation do no harm.
     """
     if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError("integer ids are needed")
     rows = need(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("raw"))
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0) // SHARD_BYTES))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("raw")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, width, fs = None, 0, None
         context = TaskContext.get()
         shard, attempt = context.partitionId(), context.taskAttemptId()
-        index: list[tuple[int, int]] = []
-        offset = total = 0
+        offset = total = records = 0
         for b in bounded(batches, "raw"):
             if fs is None:
                 tokens, width = encoder(vocabulary), _vocabulary_width(vocabulary)
                 fs, folder = _fs(place)
                 fs.create_dir(folder, recursive=True)
                 part = f"{folder}/.{shard:06d}-{attempt}"
-                out = fs.open_output_stream(f"{part}.rec")
+                out, places = fs.open_output_stream(f"{part}.rec"), fs.open_output_stream(f"{part}.idx")
             end = np.array([end_id], f"<u{width}").tobytes()
+            index: list[tuple[int, int]] = []  # of one batch
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = tokens.ids(raw)
                 if width == 2:
@@ -110,13 +112,14 @@ def write_records(docs: DataFrame, place: str, vocabulary: str, end_id: int, par
                 index.append((offset, len(ids) // width + 1))
                 offset += len(record)
                 total += index[-1][1]
+            places.write(np.array(index, _INDEX).tobytes())
+            records += len(index)
         if fs is not None:
             out.close()
-            with fs.open_output_stream(f"{part}.idx") as f:
-                f.write(np.array(index, _INDEX).tobytes())
+            places.close()
             for kind in ("idx", "rec"):
                 fs.move(f"{part}.{kind}", f"{folder}/part-{shard:06d}.{kind}")
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{place}/part-{shard:06d}"], "n_records": [len(index)], "n_ids": [total], "width": pa.array([width], pa.int32())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{place}/part-{shard:06d}"], "n_records": [records], "n_ids": [total], "width": pa.array([width], pa.int32())})
 
     return rows.mapInArrow(run, "shard int, path string, n_records bigint, n_ids bigint, width int")
 
