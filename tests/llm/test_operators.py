@@ -96,6 +96,15 @@ def test_near_duplicate_chain_within_buckets(spark):
     assert [got[k] for k in range(60)] == root
 
 
+def test_near_duplicates_of_a_large_hub(spark, monkeypatch):
+    """A hub's documents go in many parts; repeated rows of an id are one."""
+    monkeypatch.setattr(near_dup, "PART", 4)
+    base = [f"word{i}" for i in range(120)]
+    rows = [(k, " ".join(base + [f"end{k}"])) for k in range(50)] + [(100 + k, " ".join(base)) for k in range(5)] + [(3, " ".join(base + ["end3"]))]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert len(got) == 56 and {r.component_id for r in got} == {0}
+
+
 def test_near_duplicates_of_negative_ids(spark):
     words = [[f"g{g}w{k}" for k in range(60)] for g in range(2)]
     rows = [(-10 + g * 2 + k, " ".join(words[g] + [f"end{k}"] * k)) for g in range(2) for k in range(2)]
@@ -245,12 +254,12 @@ def test_mixing(docs, empty, block):
 
 
 def test_mixed_texts_are_the_words_taken(docs):
-    mix = mixing.Mix(docs, block=7, with_text=True, each=4, carry=("lang",))
+    mix = mixing.Mix(docs, block=7, with_text=True, each=4, carry=("lang", "raw", "no", "text"))
     taken = {r.doc_id: r.taken for r in mix.taken().collect()}
     found = Counter()
     for r in mix.mixed_documents().collect():
         words = WORDS.findall(r.text)
-        assert set(words) <= set(WORDS.findall(text(r.doc_id))) and r.lang == f"lang{r.doc_id}"
+        assert set(words) <= set(WORDS.findall(text(r.doc_id))) and (r.lang, r.raw, r.no) == tuple(f"{c}{r.doc_id}" for c in ("lang", "raw", "no")) and r.carried_text == TEXTS[r.doc_id]
         found[r.doc_id] += len(words)
     assert all(found[i] == n for i, n in taken.items())
 
@@ -282,6 +291,21 @@ def test_line_dedup(docs, empty):
     assert lines.dedup_lines(docs.unionByName(docs), 2).filter("kept = ''").count() >= 2 * len(TEXTS) - 2
 
 
+def test_line_dedup_carries_columns_of_any_name(docs):
+    for r in lines.dedup_lines(docs, carry=("row", "kept", "text2")).collect():
+        assert (r.row, r.carried_kept, r.text2) == (f"row{r.doc_id}", f"kept{r.doc_id}", f"text2{r.doc_id}")
+
+
+def test_mixing_of_many_sources(spark):
+    """More sources than counts of a dense plan could hold for many shards: fewer shards, the same targets."""
+    table = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 1500).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"))
+    mix = mixing.Mix(table, block=2, each=1)
+    taken = Counter()
+    for r in mix.taken().collect():
+        taken[r.source if "source" in r else None] += r.taken
+    assert sum(taken.values()) == pytest.approx(1.5 * sum(mix.sizes), abs=len(mix.sources))
+
+
 def test_line_dedup_stays_native(docs):
     plan = lines.dedup_lines(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -59,6 +59,70 @@ def test_near_dedup_keeps_one_of_repeated_rows(spark):
     assert sorted(map(str, (r.doc_id for r in got.collect()))) == ["1", "4", "5", "None"]
 
 
+ODD = "clean words of a text that goes on for some time without saying the same thing twice in any window at all "
+LONG = " ".join(f"w{i * i % 9973}x{i}" for i in range(60_000))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in each column, empty and very long texts, ties, repeated rows, and extra columns with names of ours."""
+    rows = [(1, ODD + "one", "en", "s", 9), (1, ODD + "one", "en", "s", 9), (None, ODD + "of null id", "en", "s", 9), (2, None, "en", "s", None), (3, "", None, None, 0), (4, LONG, "en", None, 9), (5, LONG + " tail", None, "s", 9)]
+    rows += [(10 + i, f"shared line of many\nown{i} " + " ".join(f"u{i}k{k}" for k in range(30)), "en", "t", 9) for i in range(12)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, raw string, kept boolean, row int, h string, length string, target string"
+    return spark.createDataFrame([(*r, "x", False, 1, "h", "l", "t") for r in rows], schema).repartition(3)
+
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def texts(table):
+    return sorted((str(r.doc_id), r.text) for r in table.collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_quality_stage_of_odd_tables(spark, odd):
+    kept = corpus_pipeline.quality_rules(spark, odd, SF)
+    assert kept.columns == COLUMNS
+    got = {r.doc_id for r in kept.collect()}
+    assert not got & {2, 3} and got <= {1, None, 4, 5, *range(10, 22)}
+    assert corpus_pipeline.quality_rules(spark, odd.limit(0), SF).count() == 0
+
+
+def test_line_stage_of_odd_tables(spark, odd):
+    out = corpus_pipeline.line_dedup(spark, odd, SF)
+    assert out.columns == COLUMNS and out.filter("n_chars <> length(text)").count() == 0
+    want = sorted((str(r.doc_id), (r.text or "").removeprefix("shared line of many\n")) for r in odd.collect())
+    assert texts(out) == want
+    assert corpus_pipeline.line_dedup(spark, odd.limit(0), SF).count() == 0
+
+
+def test_near_dedup_stage_of_odd_tables(spark, odd):
+    out = corpus_pipeline.minhash_dedup(spark, odd, SF)
+    # one of the repeated rows, which the row of null id is like; one of the long texts
+    assert out.columns == COLUMNS and sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [1, 2, 3, 4, *range(10, 22)]))
+    assert corpus_pipeline.minhash_dedup(spark, odd.limit(0), SF).count() == 0
+
+
+def test_mixing_stage_of_odd_tables(spark, odd):
+    out = corpus_pipeline.mix_sources(spark, odd, SF)
+    rows = out.collect()
+    assert out.columns == COLUMNS and not {2, 3} & {r.doc_id for r in rows}
+    words = sum(len((r.text or "").split()) for r in odd.collect())
+    assert abs(sum(len(r.text.split()) for r in rows) - 1.5 * words) <= 3
+    assert corpus_pipeline.mix_sources(spark, odd.limit(0), SF).count() == 0
+
+
+def test_packing_stage_of_odd_tables(spark, odd):
+    rows = corpus_pipeline.best_fit_packing(spark, odd, SF).collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in odd.collect()} and sum(r.doc_id in (2, 3) and r.length == 1 for r in rows) == 2
+    held = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == held.get(r.sequence_id, 0)
+        held[r.sequence_id] = r.offset + r.length
+    assert max(held.values()) <= 2048
+    assert corpus_pipeline.best_fit_packing(spark, odd.limit(0), SF).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_registered():
     import __spark_entry__ as entry
