@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session, for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 #: Spark's setting that removes a query's shuffle files when the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -51,13 +63,8 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """The table as written and read again, of the same schema.  Shuffle files of the write go as it ends."""
         place = self.path(name)
-        conf = self.spark.conf
-        before = conf.get(CLEANUP, None)
-        conf.set(CLEANUP, "true")
-        try:
+        with setting(self.spark, CLEANUP, "true"):
             df.write.option("compression", "zstd").parquet(place)
-        finally:
-            conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
         out = self.spark.read.schema(df.schema).parquet(place)
         out._scratch_place = place
         return out

@@ -3,17 +3,19 @@
 Line keys are hashed to 128 bits.  The state is a list of levels of runs; a run is a written table of
 (key hash, in how many documents), sorted by hash.  Documents come in batches.  A batch is merge-joined
 against the runs: keys that a run already holds often enough are left out of it (anti-join), the rest
-is written as a run of level 0.  Once a level has `fanout` runs they are compacted, by a merge that
+is written as a run of level 0.  Runs are bucketed and sorted alike, so that join shuffles and sorts none again.  Once a level has `fanout` runs they are compacted, by a merge that
 sums the counts, into one run of the next level.  At the end all runs are compacted into one, whose
 keys of at least `min_docs` documents are the repeated lines.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm._shared import SPACE, Scratch, carried, given_back, lower_ascii, need
+from spindrift.llm._shared import CLEANUP, SPACE, Scratch, carried, given_back, lower_ascii, need, setting
 
 _KEY = ("h1", "h2")
 
@@ -23,29 +25,50 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(SPACE)))
 
 
+#: Spark's setting that lets a scan of buckets, one sorted file each, count as sorted.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, n)."""
+    """Levelled sorted runs of (h1, h2, n).
+
+    A run is a table in `buckets` buckets by key, each one file sorted by key.  All runs have the same buckets, which are also
+    the partitions of a batch's aggregation, so joins of a batch with runs move no run, nor sort it again.
+    """
 
     def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3, scratch: Scratch | None = None):
         if min_docs < 1 or fanout < 2:
             raise ValueError("min_docs is 1 at least, fanout 2")
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.scratch = scratch or Scratch(spark, "line-runs")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
     def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
+        """The runs' keys with their counts summed.  Runs are read as plain files here, as a union of buckets is none."""
+        plain = [self.spark.read.schema(r.schema).parquet(r._scratch_place) for r in runs]
+        out = plain[0]
+        for r in plain[1:]:
             out = out.unionByName(r)
         return out.groupBy(*_KEY).agg(F.sum("n").alias("n"))
 
     def _store(self, df: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(self.scratch.write(df.sortWithinPartitions(*_KEY), f"level{level}"))
+        place, name = self.scratch.path(f"level{level}"), f"spindrift_run_{uuid.uuid4().hex}"
+        with setting(self.spark, ORDERED, "true"), setting(self.spark, CLEANUP, "true"):
+            df.write.option("compression", "zstd").option("path", place).bucketBy(self.buckets, *_KEY).sortBy(*_KEY).saveAsTable(name, format="parquet")
+        run = self.spark.table(name)
+        run._scratch_place, run._name = place, name
+        self.levels[level].append(run)
+
+    def _drop(self, runs: list[DataFrame]) -> None:
+        for r in runs:
+            self.spark.sql(f"DROP TABLE {r._name}")
+        self.scratch.drop(*runs)
 
     def add(self, keys: DataFrame) -> None:
         """keys: h1, h2, a row for each key and document of the batch."""
@@ -57,12 +80,15 @@ class LineRuns:
         while len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
             self._store(self._merge(old), level + 1)
-            self.scratch.drop(*old)
+            self._drop(old)
             level += 1
 
     def repeated(self) -> DataFrame:
-        """h1, h2 of the keys found in min_docs documents at least."""
-        return self._merge(self.runs()).filter(F.col("n") >= self.min_docs).select(*_KEY)
+        """h1, h2 of the keys found in min_docs documents at least: all runs compacted.  Ends the runs."""
+        out = self.scratch.write(self._merge(self.runs()).filter(F.col("n") >= self.min_docs).select(*_KEY), "repeated")
+        self._drop(self.runs())
+        self.levels = []
+        return out
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -91,7 +117,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     runs = LineRuns(spark, min_docs, fanout, scratch)
     for b in range(batches):
         runs.add(table.filter((F.col("batch") == b) & F.col("first")).select(*_KEY))
-    repeated = scratch.write(runs.repeated(), "repeated")
+    repeated = runs.repeated()
     found = table.select("row", *_KEY, "pos").join(repeated, list(_KEY), "left_semi").groupBy("row").agg(F.collect_set("pos").alias("dropped"))
     joined = lines.withColumn("row", row).join(found, "row", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped")), lambda i: F.get("lines", i))

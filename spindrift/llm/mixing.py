@@ -203,7 +203,7 @@ class Mix:
         first, last = F.floor(F.col("before") / self.block).cast("bigint"), F.floor((F.col("before") + F.col("size") - 1) / self.block).cast("bigint")
         blocks = self.rows.filter("size > 0").select("source_no", "part", "no", "size", "before", *more, F.explode(F.sequence(first, last)).alias("block_no"))
         start: Column = F.col("block_no") * self.block
-        joined = blocks.join(self.slots(), ["source_no", "block_no"])
+        joined = blocks.hint("merge").join(self.slots().hint("merge"), ["source_no", "block_no"])  # both grow with the corpus
         lo = F.greatest(start - F.col("before"), F.lit(0))
         hi = F.least(start + F.col("take") - F.col("before"), F.col("size"))
         return joined.select("source_no", "part", "no", *more, "shard", "slot", "epoch", lo.alias("lo"), hi.alias("hi")).filter("hi > lo")

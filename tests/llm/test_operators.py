@@ -291,6 +291,20 @@ def test_line_dedup(docs, empty):
     assert lines.dedup_lines(docs.unionByName(docs), 2).filter("kept = ''").count() >= 2 * len(TEXTS) - 2
 
 
+def test_line_runs_are_joined_without_exchange(spark):
+    runs = lines.LineRuns(spark, 3, fanout=4)
+    batch = lambda k: spark.range(100).select((F.col("id") % k).alias("h1"), F.lit(7).cast("long").alias("h2"))
+    for k in (50, 30, 10):
+        runs.add(batch(k))
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    with lines.setting(spark, lines.ORDERED, "true"):
+        first, second = runs.runs()[:2]
+        joined = planned(first.hint("merge").join(second.select("h1", "h2"), ["h1", "h2"], "left_anti"))
+    assert "SortMergeJoin" in joined and "Exchange" not in joined and "Sort [" not in joined
+    assert sorted(r.h1 for r in runs.repeated().collect()) == list(range(30))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("spindrift_run_")]
+
+
 def test_line_dedup_carries_columns_of_any_name(docs):
     for r in lines.dedup_lines(docs, carry=("row", "kept", "text2")).collect():
         assert (r.row, r.carried_kept, r.text2) == (f"row{r.doc_id}", f"kept{r.doc_id}", f"text2{r.doc_id}")
