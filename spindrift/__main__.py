@@ -6,6 +6,8 @@ import argparse
 import json
 import os
 import sys
+from collections.abc import Callable, Iterable
+from itertools import repeat
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,9 @@ def _parser() -> argparse.ArgumentParser:
     a("--full", nargs="*", default=[])
     a("--tag", nargs="*", default=[])
     a("--vocab-file", default="README.md")
-    for flag in ("directories-only", "include-non-preview", "resolve-deps", "summary-only", "outline", "smart-context", "search-full", "semantic-search", "dry-run", "use-gitignore", "tree", "text"):
+    a("--token-ranks", help="a rank file of a byte-pair vocabulary for the token count")
+    a("--token-pattern", help="the pattern that cuts text for it")
+    for flag in ("directories-only", "include-non-preview", "resolve-deps", "summary-only", "outline", "smart-context", "search-full", "semantic-search", "dry-run", "use-gitignore", "tree", "text", "interactive"):
         a(f"--{flag}", action="store_true")
     a = tools.add_parser("tree", help="a plain directory tree").add_argument
     a("path", nargs="?", default=".")
@@ -56,13 +60,29 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
-def _project(spark: SparkSession, a: argparse.Namespace) -> str:
+#: How a file is shown, by the letter that asks for it.
+MODES = {"f": "full text", "s": "summary", "o": "outline", "x": "left out"}
+
+
+def chosen_modes(paths: Iterable[str], dependencies: Iterable[str], ask: Callable[[str], str]) -> dict[str, str]:
+    """rel_path -> letter of MODES, asked file by file until the answer is one; no answer means f, or o for a dependency."""
+    usual = {**dict.fromkeys(paths, "f"), **dict.fromkeys(dependencies, "o")}
+    choices = "/".join(f"{k} {v}" for k, v in MODES.items())
+    given = lambda path, default: (ask(f"{path} ({choices}; {default}): ").strip().lower() or default for _ in repeat(None))
+    return {path: next(x for x in given(path, usual[path]) if x in MODES) for path in sorted(usual)}
+
+
+def _project(spark: SparkSession, a: argparse.Namespace, ask: Callable[[str], str] = input) -> str:
     from spindrift.operators import trees
     from spindrift.plans.project import Options, ProjectDump
 
-    skipped = {"tool", "outfile", "dry_run", "tree", "text"}
+    skipped = {"tool", "outfile", "dry_run", "tree", "text", "interactive", "token_ranks", "token_pattern"}
     options = {k: tuple(v) if isinstance(v, list) else v for k, v in vars(a).items() if k not in skipped}
     dump = ProjectDump(spark, Options(**options))
+    if a.interactive:
+        listed = [r.rel_path for r in dump.features.select("rel_path").collect()]
+        more = [r.id for r in dump.smart_dependencies.collect()] if a.smart_context else []
+        dump = ProjectDump(spark, Options(**options, modes=chosen_modes(listed, more, ask)))
     name = os.path.basename(os.path.abspath(a.path))
     if a.dry_run:
         return "\n".join(f"{r.rel_path}  [{', '.join(r.tags)}]" for r in dump.candidates().orderBy("rel_path").collect())
@@ -121,7 +141,10 @@ def main(args: list[str] | None = None) -> None:
             f.write(text)
     else:
         sys.stdout.write(text + "\n")
-    print(f"[Tokens: {len(text) // 4:,}]", file=sys.stderr)
+    from spindrift.functions.token_count import tokens
+
+    count = tokens(F.col("text"), getattr(a, "token_ranks", None), getattr(a, "token_pattern", None))
+    print(f"[Tokens: {spark.createDataFrame([(text,)], 'text string').select(count).first()[0]:,}]", file=sys.stderr)
 
 
 if __name__ == "__main__":

@@ -214,23 +214,20 @@ def cells_as_markdown(spark, sf_dir):
     return notebooks.as_markdown(notebooks.select_cells(rows))
 
 
-_EDGES = "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity >= 49"
-
-
 @query(
-    "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity >= 49 AND l_partkey <> l_suppkey), r(id) AS (SELECT p_partkey FROM part WHERE p_size = 1 UNION SELECT dst FROM r JOIN e ON r.id = e.src) SELECT id FROM r"
+    "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey), r(id) AS (SELECT p_partkey FROM part WHERE p_size = 1 UNION SELECT dst FROM r JOIN e ON r.id = e.src) SELECT id FROM r"
 )
 def dependency_closure(spark, sf_dir):
-    edges = _table(spark, sf_dir, "lineitem").filter("l_quantity >= 49 AND l_partkey <> l_suppkey").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    edges = _table(spark, sf_dir, "lineitem").filter("l_partkey <> l_suppkey").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
     seeds = _table(spark, sf_dir, "part").filter("p_size = 1").select(F.col("p_partkey").alias("id"))
     return graph.closure(edges, seeds)
 
 
 @query(
-    "WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity >= 49 AND l_partkey <> l_suppkey), t AS (SELECT p_partkey AS id FROM part WHERE p_size = 1) SELECT DISTINCT dst AS id FROM e WHERE src IN (SELECT id FROM t) AND dst NOT IN (SELECT id FROM t)"
+    "WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey), t AS (SELECT p_partkey AS id FROM part WHERE p_size = 1) SELECT DISTINCT dst AS id FROM e WHERE src IN (SELECT id FROM t) AND dst NOT IN (SELECT id FROM t)"
 )
 def direct_dependencies(spark, sf_dir):
-    edges = _table(spark, sf_dir, "lineitem").filter("l_quantity >= 49 AND l_partkey <> l_suppkey").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    edges = _table(spark, sf_dir, "lineitem").filter("l_partkey <> l_suppkey").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
     return graph.direct_dependencies(edges, _table(spark, sf_dir, "part").filter("p_size = 1").select(F.col("p_partkey").alias("id")))
 
 

@@ -493,6 +493,24 @@ def test_command_line(spark, project, tmp_path):
     assert call("answer", "pip install numpy", "--pip") == "package numpy"
 
 
+def test_interactive_modes(spark, project):
+    from spindrift.__main__ import _parser, _project, chosen_modes
+
+    answers = iter(["", "q", " S ", "", "x"])
+    assert chosen_modes(["b", "a", "d"], ["c"], lambda _: next(answers)) == {"a": "f", "b": "s", "c": "o", "d": "x"}
+    args = _parser().parse_args(["project", "-p", project, "--text", "--interactive", "--outline"])
+    shown = _project(spark, args, lambda asked: "x" if not asked.startswith("a.py") else "")
+    assert shown.count("### File:") == 1 and "### File: a.py" in shown and "return 1" in shown
+
+
+def test_tokens_of_a_dump(spark):
+    public = pytest.importorskip("public_tokenizers")
+    files = spark.createDataFrame([("a.md", "Hello world, hello.")], "rel_path string, content string").withColumn("mtime", F.lit(None).cast("timestamp"))
+    plan = ProjectDump(spark, Options(exclude=()), files=files)
+    counted = plan.tokens(public.path("byte_bpe_50k.tiktoken"), public.PATTERN).first().tokens
+    assert plan.tokens().first().tokens == (len(plan.text()) + 1) // 4 and 5 < counted < len(plan.text())
+
+
 def test_tokens_of_reports(spark):
     from spindrift.functions.token_count import tokens
 
