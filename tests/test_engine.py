@@ -333,6 +333,16 @@ def test_workbook_lite(spark):
     assert missing["w.xlsx"] == "Error: Sheet 'Two' not found."
 
 
+def test_merged_ranges_in_order_of_the_file(spark):
+    refs = ["B9:C9", "A4:B4", "A30:B31", "D2:E2", "A10:B10", "C1:D1", "A2:B2"]
+    book = lambda rs: workbook(SHEET, "<mergeCells>" + "".join(f'<mergeCell ref="{r}"/>' for r in rs) + "</mergeCells>")
+    parts = workbooks.parts(spark.createDataFrame([("w.xlsx", book(refs)), ("v.xlsx", book(refs[::-1])), ("u.xlsx", book([]))], "path string, content binary"))
+    for scattered in (parts.coalesce(1).sortWithinPartitions("value"), parts.coalesce(1).sortWithinPartitions(F.desc("value")), parts.repartition(3, "value")):
+        for style in ("lite", "full"):
+            got = {r.path: r.text.split("\n")[1] for r in sheets.sheet_maps(scattered, style).collect()}
+            assert got == {"w.xlsx": "Merged Ranges: " + ", ".join(refs), "v.xlsx": "Merged Ranges: " + ", ".join(refs[::-1]), "u.xlsx": "Merged Ranges: "}
+
+
 def test_workbook_limits_and_runs(spark, tmp_path):
     many = "".join(f'<row><c r="A{r}"><v>1</v></c><c r="AZ{r}"><v>2</v></c></row>' for r in range(1, 311))
     (tmp_path / "m.xlsx").write_bytes(workbook(many))
