@@ -150,7 +150,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     smaller neighbours (small star), with the result written; the number of rounds grows with the
     logarithm of a component's diameter.  All counts stay on the cluster but for one sum a round.
     """
-    current = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), name)
+    current = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), name)  # with the work that finds edges
     last = None
     while True:
         check = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -160,12 +160,12 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = scratch.write(large.filter("a <> b").distinct(), name)
+        large = scratch.write(large.filter("a <> b").distinct(), name, light=True)
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        after = scratch.write(small.filter("a <> b").distinct(), name)
+        after = scratch.write(small.filter("a <> b").distinct(), name, light=True)
         scratch.drop(current, large)
         current = after
 
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     open_ = per.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     open_ = open_.select("band", "key", F.col("m.root").alias("main"), (F.col("all") - F.col("m.n")).alias("others"))
     left = scratch.write(rooted.join(open_, ["band", "key"]), "open")
-    more = _check_blocks(scratch, rows, reps, left, size, percent)
+    more = _check_blocks(rows, reps, left, size, percent)
     roots = components(scratch, links.unionByName(more), "roots")
     named = signed.join(reps.select("s1", "s2", "rep"), ["s1", "s2"], "left")
     out = named.join(roots, named["rep"] == roots["doc"], "left")
@@ -254,7 +254,7 @@ def _check_stars(scratch: Scratch, rows: DataFrame, stars: DataFrame, size: int,
     return dealt.select("hub", "part", "rep", "raw", "follows").mapInArrow(run, "a bigint, b bigint")
 
 
-def _check_blocks(scratch: Scratch, rows: DataFrame, reps: DataFrame, left: DataFrame, size: int, percent: int) -> DataFrame:
+def _check_blocks(rows: DataFrame, reps: DataFrame, left: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b: links between components of a bucket, enough to join them.
 
     left: band, key, rep, root, main, docs and others (documents of the bucket, and those outside its main component).  The others are
@@ -301,7 +301,7 @@ def _check_blocks(scratch: Scratch, rows: DataFrame, reps: DataFrame, left: Data
                 n = len(doc) + len(others)
                 yield pa.RecordBatch.from_pydict({"task": pa.array([task] * n, pa.int64()), "rep": pa.array(doc + others.tolist(), pa.int64()), "partners": pa.array([p.tolist() for p in partners] + [[]] * len(others), pa.list_(pa.int64()))})
 
-    found = scratch.write(both.mapInArrow(candidates, "task bigint, rep bigint, partners array<bigint>"), "candidates")
+    found = both.mapInArrow(candidates, "task bigint, rep bigint, partners array<bigint>")  # read once, as the links are
     texts = found.hint("merge").join(rows, found["rep"] == rows["doc_id"]).select("task", "rep", "partners", "raw").repartition("task").sortWithinPartitions("task", "rep")
     same = Similar(percent)
 
@@ -329,4 +329,4 @@ def _check_blocks(scratch: Scratch, rows: DataFrame, reps: DataFrame, left: Data
             if a:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return scratch.write(texts.mapInArrow(verify, "a bigint, b bigint"), "block-links")
+    return texts.mapInArrow(verify, "a bigint, b bigint")

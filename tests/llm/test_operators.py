@@ -573,3 +573,31 @@ def test_cache_keeps_two_generations():
     c = tokens.Cache(lambda k: calls.append(k) or k, 2)
     assert [c[k] for k in (1, 2, 3, 1, 4, 1)] == [1, 2, 3, 1, 4, 1] and calls == [1, 2, 3, 4]
     assert len(c) + len(c.old) <= 4
+
+
+def test_written_tables_are_few_plain_files_that_are_checked(spark, tmp_path, monkeypatch):
+    import glob
+    import os
+
+    scratch = Scratch(spark, "test")
+    monkeypatch.setattr(scratch, "root", f"file://{tmp_path}/scratch")
+    with pytest.raises(Exception, match="(?i)checksum|crc"):
+        table = scratch.write(spark.range(0, 50_000, 1, 3).withColumn("x", F.xxhash64("id")), "many")
+        assert table.count() == 50_000 and len(glob.glob(f"{tmp_path}/scratch/*/part-*.parquet")) == 3
+        assert not glob.glob(f"{tmp_path}/scratch/**/.*.crc", recursive=True, include_hidden=True)
+        for path in glob.glob(f"{tmp_path}/scratch/*/part-*.parquet"):
+            with open(path, "r+b") as f:  # one byte of a page
+                f.seek(os.path.getsize(path) // 2)
+                byte = f.read(1)[0]
+                f.seek(-1, 1)
+                f.write(bytes([byte ^ 1]))
+        table.agg(F.sum("x")).collect()
+    small = scratch.write(spark.range(0, 4000, 1, 3).groupBy(F.col("id") % 1000).count(), "light", light=True)
+    assert small.count() == 1000 and len(glob.glob(f"{tmp_path}/scratch/*light/part-*.parquet")) == 1
+
+
+def test_tables_read_once_are_not_written(docs, monkeypatch):
+    names, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, *a, **b: names.append(name) or write(self, df, name, *a, **b))
+    near_dup.near_duplicates(docs, 3, 85)
+    assert "signed" in names and not {"candidates", "block-links"} & set(names)
