@@ -601,3 +601,11 @@ def test_tables_read_once_are_not_written(docs, monkeypatch):
     monkeypatch.setattr(Scratch, "write", lambda self, df, name, *a, **b: names.append(name) or write(self, df, name, *a, **b))
     near_dup.near_duplicates(docs, 3, 85)
     assert "signed" in names and not {"candidates", "block-links"} & set(names)
+
+
+def test_repeats_leave_no_checksum_files(docs, tmp_path, monkeypatch):
+    import glob
+
+    monkeypatch.setattr(Scratch, "path", lambda self, name: f"file://{tmp_path}/{name}")
+    assert repeats.remove_repeats(docs, 200).count() == len(TEXTS)
+    assert glob.glob(f"{tmp_path}/dictionary/part-*") and not glob.glob(f"{tmp_path}/**/.*.crc", recursive=True, include_hidden=True)
